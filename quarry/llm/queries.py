@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from quarry.llm.html_text import op9_html_extraction
 from quarry.llm.packing import op7_packing
 from quarry.llm.quality import op4_quality_rules
 from quarry.llm.tokens import op1_token_counts
+from quarry.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op7_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_toxicity, op7_packing, op9_html_extraction)}
 ORACLE: dict[str, str] = {}
