@@ -80,3 +80,15 @@ def each_row(df: DataFrame, schema: str | T.StructType, fn: Callable[..., tuple]
             yield [fn(*x) for x in zip(*cols, strict=True)]
 
     return map_columns(df, schema, run)
+
+
+def filter_rows(df: DataFrame, id_col: str, text_col: str, make_test: Callable[[], Callable[[int | None, str | None], bool]]) -> DataFrame:
+    """The rows of df for which the test made once in each task is true, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make_test()
+        for b in batches:
+            ids, texts = b.column(b.schema.get_field_index(id_col)).to_pylist(), b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([bool(test(i, t)) for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

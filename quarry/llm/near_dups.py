@@ -306,3 +306,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs of which each group has one, the one with the smallest id, with all
+    columns. Of rows that share an id, all stay or none."""
+    gone = cut_lineage(near_duplicates(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct())
+    few = gone.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column_or_null, map_columns, table
+from quarry.llm.common import column_or_null, filter_rows, map_columns, table
 
 #: Bounds of the labelled sample.
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 6000
@@ -230,5 +230,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return map_columns(rows, "doc_id long, held_out boolean, score double, predicted int, n_sentences int, worst_start int, worst_end int", run)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+
+    def test():
+        score = Scorer(*shared.value)
+        return lambda _, t: score(t)[0] < THRESHOLD
+
+    return filter_rows(docs, id_col, text_col, test)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
