@@ -84,12 +84,13 @@ def near_miss_literal(pattern: str) -> str | None:
 
 
 _SPACE = r"\t\n\f\r "
-_WORD = "[0-9A-Za-z_]"
+_WORD = "(?-i:[0-9A-Za-z_])"
 _BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _NO_BOUNDARY = rf"(?:(?<!{_WORD})(?!{_WORD})|(?<={_WORD})(?={_WORD}))"
+#: Spelt out, since RE2 folds the case of these ranges like that of others.
 _POSIX = {
-    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
-    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\t\n\x0B\f\r ", "upper": r"\p{Upper}", "word": "0-9A-Za-z_", "xdigit": r"\p{XDigit}",
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
 _FLAGS = re.compile(r"\?(?P<on>[ims]*)(?P<off>-[ims]+)?(?P<end>[:)])")
 _REPEAT = re.compile(r"\{(\d+)(?:(,)(\d*))?\}")
@@ -186,7 +187,7 @@ class _Translator:
         self.put("(" + flags[0], 1 + len(flags[0]))
         return int(flags["end"] == ")")
 
-    def escape(self, in_class: bool, negated: bool = False) -> bool:
+    def escape(self, in_class: bool) -> bool:
         """Writes an escape. True if what it stands for can be repeated."""
         c = self.p[self.i + 1 : self.i + 2]
         if not c:
@@ -217,16 +218,18 @@ class _Translator:
         if c == "s":
             self.put(_SPACE if in_class else f"[{_SPACE}]", 2)
         elif c == "S":
-            if in_class and negated:
-                self.fail("unsupported class")
             self.put(f"[^{_SPACE}]", 2)
+        elif c == "w":  # spelt out like the named classes
+            self.put("0-9A-Za-z_" if in_class else "[0-9A-Za-z_]", 2)
+        elif c == "W":
+            self.put("[^0-9A-Za-z_]", 2)
         elif c in "bB" and not in_class:
             self.put(_BOUNDARY if c == "b" else _NO_BOUNDARY, 2)
         elif c in "Az" and not in_class:
             self.put("\\" + c, 2)
         elif c == "v":
             self.put(r"\x0B", 2)
-        elif c in "dDwWafnrt":
+        elif c in "dDafnrt":
             self.put("\\" + c, 2)
         elif c.isascii() and c.isalnum():
             self.fail(f"invalid escape sequence \\{c}")
@@ -254,7 +257,7 @@ class _Translator:
                 inner = _POSIX[posix[2]]
                 self.put(f"[^{inner}]" if posix[1] else inner, len(posix[0]))
             elif c == "\\":
-                self.escape(True, negated)
+                self.escape(True)
             elif c in "[&]^~":
                 self.put("\\" + c)
             else:

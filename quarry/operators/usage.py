@@ -27,9 +27,9 @@ BUCKET = 65_536
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON lines, in the order of the log; unreadable lines are left out, absent
     fields are 0, false or empty."""
-    schema = LOG_SCHEMA + ", __bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    rows = rows.withColumn("seq", F.monotonically_increasing_id()).where("__bad IS NULL").drop("__bad")
+    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    got = F.from_json("value", LOG_SCHEMA + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    rows = lines.where("trim(value) <> ''").select("seq", got.alias("e")).where("e IS NOT NULL AND e.__bad IS NULL").select("seq", "e.*").drop("__bad")
     return rows.fillna("").fillna(0).fillna(False)
 
 
