@@ -29,7 +29,7 @@ from quarry.llm.common import column_or_null, filter_rows, map_columns, table
 #: Words in a seed, and the share of an item's n-grams that are seeds, the rarest first.
 SEED, RARE = 3, 0.5
 #: Score of an equal word, of another word in its place, and of a dropped or added word.
-MATCH, OTHER, GAP = 1.0, -0.6, -0.6
+MATCH, OTHER, GAP = 5, -3, -3
 #: The least score that is a copy, as a share of the item's own.
 LEAST = 0.5
 #: Characters of test items that tasks hold at once. More items take more passes.
@@ -42,18 +42,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int]:
+def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
     """Best local alignment's score, and where in part it ends (exclusive)."""
     steps = -GAP * np.arange(len(part) + 1)
-    above = np.zeros(len(part) + 1)
-    best, end = 0.0, 0
+    above = np.zeros(len(part) + 1, np.int64)
+    best, end = 0, 0
     for w in item:
-        row = np.maximum(above + GAP, 0.0)
+        row = np.maximum(above + GAP, 0)
         row[1:] = np.maximum(row[1:], above[:-1] + np.where(part == w, MATCH, OTHER))
         row = np.maximum.accumulate(row + steps) - steps  # gaps along the row
         at = int(row.argmax())
         if row[at] > best:
-            best, end = float(row[at]), at
+            best, end = int(row[at]), at
         above = row
     return best, end
 
@@ -151,7 +151,7 @@ class Items:
             for a, b in regions:
                 part = ids[a:b]
                 shared = np.minimum(np.bincount(part[part >= 0], minlength=self.base), known).sum()
-                if shared * MATCH < LEAST * size * MATCH:
+                if shared < LEAST * size:
                     continue  # too few of the item's words are there for the score
                 score, end = align(w, part)
                 if score >= LEAST * size * MATCH:

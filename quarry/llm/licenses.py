@@ -90,9 +90,9 @@ OTHERS = (
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 BUCKETS, NGRAMS = 4096, 3
-CERTAIN, CONFIRMED = 0.6, 0.7
+CERTAIN, CONFIRMED = 0.5, 0.7
 #: A paragraph longer than this many words is classified in windows of so many, each half overlapping the last.
-WINDOW = 120
+WINDOW = 80
 SEED, EPOCHS, RATE, L2 = 7, 300, 0.5, 1e-3
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPLIT = r"[^a-z0-9]+"
@@ -140,11 +140,11 @@ def examples(rng: random.Random, n: int) -> list[tuple[list[str], int]]:
                     words = [rng.choice(known) for _ in range(rng.randint(3, 40))]
                 else:
                     words = []
-                words = words + [rng.choice(pool) for _ in range(rng.randint(0 if words else 3, 40))]
+                words = words + [rng.choice(pool) for _ in range(rng.randint(0 if words else 3, 80))]
             else:
                 words = [w for w in tokens(rng.choice(TEMPLATES[family])) if rng.random() > 0.04]
-                if rng.random() < 0.4:
-                    words = [rng.choice(pool) for _ in range(rng.randint(0, 15))] + words + [rng.choice(pool) for _ in range(rng.randint(0, 15))]
+                if rng.random() < 0.6:
+                    words = [rng.choice(pool) for _ in range(rng.randint(0, 50))] + words + [rng.choice(pool) for _ in range(rng.randint(0, 50))]
             out.append((words, label))
     return out
 
@@ -175,7 +175,7 @@ def model() -> tuple[np.ndarray, np.ndarray, float]:
         w -= RATE * 20 * (g.T @ x[:cut] / cut + L2 / 20 * w)
         b -= RATE * g.mean(axis=0)
     z = x[cut:] @ w.T + b
-    heats = np.linspace(0.3, 3, 55)
+    heats = np.linspace(0.05, 3, 60)
     heat = min(heats, key=lambda t: -np.log(np.maximum(1e-9, soft(z / t)[np.arange(len(z)), y[cut:]])).mean())
     full = np.zeros((len(FAMILIES), BUCKETS))
     full[:, used] = w

@@ -42,7 +42,7 @@ SIGMAS = 5
 BLOCK = 128
 #: So many ids at most are broadcast to pick their texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
-MEMO = 500_000
+MEMO = 250_000
 _M = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -200,6 +200,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     return map_columns(rows.select("a", "b", "text_a", "text_b"), "a long, b long", run)
 
 
+def _near(pdf: pd.DataFrame, percent: int, most: int) -> np.ndarray:
+    """Which pairs of a block's rows (n, sketch) are near by size and sketch: at most 2 * BLOCK rows, give or take."""
+    n, sketch = pdf["n"].to_numpy(), np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+    out = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    bits = np.zeros(out.shape, np.uint16)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[:, k, None] ^ sketch[None, :, k])
+    return out & (bits <= most)
+
+
 def _rest_of_buckets(members: DataFrame, heads: DataFrame, labels: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame | None:
     """Links inside buckets between components that the comparison with the smallest id left apart."""
     rows = members.join(heads.where("n > 2").select("key", "head"), "key").where("id <> head")
@@ -226,19 +236,13 @@ def _rest_of_buckets(members: DataFrame, heads: DataFrame, labels: DataFrame, si
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         """The members of a pair of blocks that have a partner whose sketch is near."""
-        label, n = pdf["label"].to_numpy(), pdf["n"].to_numpy()
-        out = np.zeros(len(pdf), bool)
-        if (label != label[0]).any():
-            sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
-            for k in range(len(pdf)):
-                near = (label[k + 1 :] != label[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))
-                if near.any():
-                    near &= np.bitwise_count(sketch[k + 1 :] ^ sketch[k]).sum(axis=1) <= most
-                    out[k] |= near.any()
-                    out[k + 1 :] |= near
-        return pdf.loc[out, ["key", "i", "j", "id", "label"]]
-
-    left = cut_lineage(rows.groupBy("key", "i", "j").applyInPandas(near, "key long, i int, j int, id long, label long"))
+        label = pdf["label"].to_numpy()
+        if (label == label[0]).all():
+            return pdf.iloc[:0]
+        return pdf[(_near(pdf, percent, most) & (label[:, None] != label[None, :])).any(axis=1)]
+
+    kind = "key long, i int, j int, id long, label long, n long, sketch array<long>"
+    left = cut_lineage(rows.groupBy("key", "i", "j").applyInPandas(near, kind))
     if left.isEmpty():
         return None
     texts = _texts(docs, id_col, text_col, cut_lineage(left.select("id").distinct()))
@@ -255,12 +259,11 @@ def _rest_of_buckets(members: DataFrame, heads: DataFrame, labels: DataFrame, si
 
         sets = [shingles(t, words) for t in pdf["text"]]
         ids, label, out = pdf["id"].tolist(), pdf["label"].tolist(), []
-        for k in range(len(ids)):
-            for m in range(k + 1, len(ids)):
-                a, b = find(label[k]), find(label[m])
-                if a != b and linked(sets[k], sets[m], percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((ids[k], ids[m]))
+        for k, m in np.argwhere(np.triu(_near(pdf, percent, most), 1)).tolist():
+            a, b = find(label[k]), find(label[m])
+            if a != b and linked(sets[k], sets[m], percent):
+                root[max(a, b)] = min(a, b)
+                out.append((ids[k], ids[m]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return cut_lineage(left.join(texts, "id").groupBy("key", "i", "j").applyInPandas(join_components, "a long, b long"))
