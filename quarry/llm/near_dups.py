@@ -42,7 +42,7 @@ SIGMAS = 5
 BLOCK = 128
 #: So many ids at most are broadcast to pick their texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
-MEMO = 250_000
+MEMO = 200_000
 _M = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)

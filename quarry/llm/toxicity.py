@@ -17,7 +17,7 @@ contradict each other count as toxic if any of them is; null labels and null ids
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ EPOCHS, RATE, L2, START = 200, 0.3, 1e-5, -8.0
 #: A feature is learned from if so many documents have it and its likelihood ratio is so large
 #: (or larger, the more features there are to try).
 LEAST_DOCS, LEAST_G2 = 3, 12.0
-MEMO = 500_000
+MEMO = 200_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
 _FNV, _MUL = 0xCBF29CE484222325, 0x100000001B3
@@ -78,7 +78,7 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
         at = m.end() if m else end
 
 
-def associated(bags: list[set[str]], y: np.ndarray) -> np.ndarray:
+def associated(bags: Iterable[set[str]], y: np.ndarray) -> np.ndarray:
     """Which weights stand for features that toxic documents have significantly more often."""
     known: dict[str, np.ndarray] = {}
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -106,7 +106,7 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, fl
     y = np.array(labels, float)
     if not y.any() or y.all():
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -1e9
-    live = associated([{w for _, _, words in sentences(t) for w in words} for t in texts], y)
+    live = associated(({w for _, _, words in sentences(t) for w in words} for t in texts), y)
     # instances: sentences with a live feature; of the others only their number matters
     known: dict[str, list[int]] = {}
     feats, starts, bags, plain = [], [], [], np.zeros(len(texts))
