@@ -1,8 +1,9 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 1. One pass counts in how many documents each word n-gram of a test item occurs.
-2. Of each item the rarer half of its n-grams are its seeds. However often a leaked item occurs,
-   half of its n-grams stay seeds, so frequent leaks are found like others.
+2. An item's seeds are its n-grams that are rare: in few documents, or in few compared with the
+   median of that item's n-grams. However often a leaked item occurs, its own n-grams stay seeds,
+   those that edited copies kept among them, so frequent leaks are found like others.
 3. A second pass joins documents to items by the seeds, and around each seed's place aligns the
    item's words with the document's. Local alignment gives credit for kept words and charges
    substituted, dropped and added ones, so edited and paraphrased copies score too.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import column_or_null, filter_rows, map_columns, table
 
-#: Words in a seed, and the share of an item's n-grams that are seeds, the rarest first.
-SEED, RARE = 3, 0.5
+#: Words in a seed; an n-gram is rare if it occurs in so many documents at most, or in at most so
+#: many times as many as the median of its item's n-grams.
+SEED, RARE, RARE_TIMES = 3, 16, 4
 #: Score of an equal word, of another word in its place, and of a dropped or added word.
 MATCH, OTHER, GAP = 5, -3, -3
 #: The least score that is a copy, as a share of the item's own.
@@ -112,11 +114,13 @@ class Items:
         return np.concatenate(places), np.concatenate(grams)
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """counts: of documents, by n-gram. The rarer share of each item's n-grams become seeds."""
+        """counts: of documents, by n-gram. Rare n-grams become seeds."""
         for i, grams in enumerate(self.grams):
-            ranked = sorted(grams, key=lambda x: (counts[x[1]], x[0]))
-            for place, g in ranked[: max(1, int(np.ceil(RARE * len(ranked))))]:
-                self.seeds.setdefault(g, []).append((i, place))
+            found = counts[[g for _, g in grams]]
+            most = max(RARE, RARE_TIMES * float(np.median(found)))
+            for (place, g), n in zip(grams, found.tolist(), strict=True):
+                if n <= most:
+                    self.seeds.setdefault(g, []).append((i, place))
         self.is_seed = np.zeros(len(self.of_sorted), bool)
         self.is_seed[list(self.seeds)] = True
 
