@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
 from quarry.llm.common import column_or_null, table
 
 #: Notices and key sentences of public licences.
@@ -233,22 +234,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def parts(x: Column) -> Column:
         words = F.filter(F.split(x["t"], _SPLIT, -1), lambda v: v != "")
-        return F.transform(_windows(words), lambda v: F.struct(x["line"].alias("line"), v.alias("words"), _grams(v).alias("grams")))
+        return F.transform(let(words, _windows), lambda v: F.struct(x["line"].alias("line"), _grams(v).alias("grams")))
 
     rows = rows.withColumn("parts", F.flatten(F.transform("lines", parts))).drop("lines")
     # templates' own n-grams, for the confirmation
     shapes = [(k, grams(tokens(t))) for k, family in enumerate(FAMILIES) if k for t in TEMPLATES[family]]
 
     def scored(x: Column) -> Column:
-        at = F.array_distinct(F.transform(x["grams"], lambda g: F.pmod(F.crc32(g), F.lit(BUCKETS)).cast("int")))
-        norm = F.sqrt(F.greatest(F.lit(1), F.size(at)).cast("double"))
+        numbers = F.array_distinct(F.transform(x["grams"], lambda g: F.pmod(F.crc32(g), F.lit(BUCKETS)).cast("int")))
 
-        def logit(k: int) -> Column:
-            total = F.aggregate(F.transform(at, lambda i: F.get(_literal(w[k]), i)), F.lit(0.0), lambda s, v: s + v)
-            return (total / norm + F.lit(float(b[k]))) / F.lit(heat)
+        def logits(at: Column) -> Column:
+            norm = F.sqrt(F.greatest(F.lit(1), F.size(at)).cast("double"))
 
-        z = [logit(k) for k in range(len(FAMILIES))]
-        return F.struct(x["line"].alias("line"), x["grams"].alias("grams"), F.array(*z).alias("z"))
+            def logit(k: int) -> Column:
+                total = F.aggregate(F.transform(at, lambda i: F.get(_literal(w[k]), i)), F.lit(0.0), lambda s, v: s + v)
+                return (total / norm + F.lit(float(b[k]))) / F.lit(heat)
+
+            return F.array(*[logit(k) for k in range(len(FAMILIES))])
+
+        return F.struct(x["line"].alias("line"), x["grams"].alias("grams"), let(numbers, logits).alias("z"))
 
     rows = rows.withColumn("scored", F.transform("parts", scored)).drop("parts")
 

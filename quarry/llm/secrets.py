@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
 from quarry.llm.common import column_or_null, table
 
 
@@ -192,23 +193,30 @@ _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 def spans_of(rule: Rule, rank: int, text: Column, candidate: Column) -> Column:
     """Spans of a rule's matches: empty unless the row is a candidate."""
     p = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    sizes = F.transform(found, lambda x: F.length(x))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    # what ends before match i: the gaps up to it and the matches before it
-    both = F.transform(sizes, lambda x, i: x + F.get(gaps, i))
-    value = F.transform(F.regexp_extract_all(text, p, F.lit(rule.value_group)), lambda x: F.length(x))
-    rows = F.transform(
-        F.arrays_zip(_prefix_sums(both).alias("before"), sizes.alias("size"), F.slice(gaps, 1, F.size(sizes)).alias("gap"), value.alias("value")),
-        lambda x: F.struct(
-            (x["before"] + x["gap"]).cast("int").alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(rule.kind).alias("kind"),
-            (x["before"] + x["gap"] + x["size"]).cast("int").alias("end"),
-            x["value"].alias("value"),
-        ),
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
+    parts = F.struct(
+        lengths(F.regexp_extract_all(text, p, F.lit(0))).alias("size"),
+        lengths(F.split(text, rule.pattern, -1)).alias("gap"),
+        lengths(F.regexp_extract_all(text, p, F.lit(rule.value_group))).alias("value"),
     )
-    kept = F.transform(F.filter(rows, lambda x: x["value"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    def place(s: Column) -> Column:
+        # what ends before match i: the gaps up to it and the matches before it
+        both = F.transform(s["size"], lambda x, i: x + F.get(s["gap"], i))
+        rows = F.transform(
+            F.arrays_zip(let(both, _prefix_sums).alias("before"), s["size"].alias("size"), F.slice(s["gap"], F.lit(1), F.size(s["size"])).alias("gap"), s["value"].alias("value")),
+            lambda x: F.struct(
+                (x["before"] + x["gap"]).cast("int").alias("start"),
+                F.lit(rank).alias("rank"),
+                F.lit(rule.kind).alias("kind"),
+                (x["before"] + x["gap"] + x["size"]).cast("int").alias("end"),
+                x["value"].alias("value"),
+            ),
+        )
+        long = F.filter(rows, lambda x: x["value"] >= rule.least)
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    kept = let(parts, place)
     return F.when(candidate & text.rlike(rule.pattern), kept).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
@@ -248,8 +256,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs, with the same columns, each secret in the text replaced by mark. Overlapping spans
     are one secret. A null text stays null, and a text without secrets stays as it is."""
-    others = tuple(c for c in docs.columns if c != text_col)
-    found = scan(docs, id_col, text_col, keep=others)
+    found = scan(docs, id_col, text_col, keep=tuple(docs.columns))
     # fold over the sorted spans: what is written so far and up to where the text is used up
     step = lambda acc, x: F.when(
         x["start"] >= acc["at"],
@@ -260,7 +267,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     found = found.withColumn("__fold", folded)
     between = F.transform(F.col("__fold.out"), lambda x: F.substr(F.col("__text"), x["from"] + 1, x["to"] - x["from"]))
     text = F.concat(F.array_join(between, mark), F.lit(mark), F.substr(F.col("__text"), F.col("__fold.at") + 1))
-    out = F.when(F.size("__spans") > 0, text).otherwise(F.col("__text"))
+    out = F.when(F.size("__spans") > 0, text).otherwise(F.col(f"`{text_col}`"))
     return found.select(*[(out if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
