@@ -77,7 +77,7 @@ def test_odd_rows_of_the_rest(spark):
 
 def test_queries_are_whole(spark):
     con = connect()
-    n = {t: con.sql(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("documents", "pages")}
+    n = {t: con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("documents", "pages")}
     for name, f in QUERIES.items():
         if name.startswith(("op3_", "op7_")):
             continue
