@@ -36,21 +36,40 @@ class Rule:
     value_group: int = 0
     least: int = 0
     base: bool = False
+    #: The same for Java's engine if set: its loops over groups take stack unless possessive.
+    java: str = ""
+
+
+#: What may stand between a private key's lines (also as in quoted strings), and a line's end mark.
+_KEY_MARK = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_KEY_GAP = r"""(?:[\x20\t\r\n"'>,]|\\r|\\n)"""
+
+
+def private_key(end: str = "$", own: str = "") -> str:
+    """From BEGIN to END with no other mark between; if there is no END, over the armour's headers,
+    the base64 lines that follow, a last short one and a checksum. own makes loops possessive:
+    nothing after them could match what they give back."""
+    closed = rf"[^-]*{own}(?:-{{1,4}}[^-]+)*{own}-----END {_KEY_MARK}"
+    headers = rf"(?:{_KEY_GAP}+{own}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*)*{own}"
+    lines = rf"(?:{_KEY_GAP}*{own}[A-Za-z0-9+/]{{16,}}={{0,2}})+{own}"
+    last = rf"(?:{_KEY_GAP}+{own}[A-Za-z0-9+/]{{1,15}}(?:={{1,2}}|[\r\n]|{end}))?(?:{_KEY_GAP}*{own}=[A-Za-z0-9+/]{{4}})?"
+    return rf"-----BEGIN {_KEY_MARK}(?:{closed}|{headers}(?:{lines}{last})?)"
 
 
 #: The order is that of kinds at the same start. {n,} stands where a greedy + and a dropped
-#: shorter match would give the same spans; in assign it would not.
+#: shorter match would give the same spans; in assign it would not. A longer scheme than that of
+#: url_password only has its first letters outside the span.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, base=True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", private_key(), java=private_key(r"\z", "+")),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9_.%-]{1,64}:[A-Za-z0-9_.%+~-]{3,64}@"),
+    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9_.%-]*:[A-Za-z0-9_.%+~-]{3,}@"),
 )
 #: The most strings that a part of a regex is spelt out to.
 MOST_STRINGS = 16
@@ -192,11 +211,12 @@ _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 def spans_of(rule: Rule, rank: int, text: Column, candidate: Column) -> Column:
     """Spans of a rule's matches: empty unless the row is a candidate."""
-    p = F.lit(rule.pattern)
+    pattern = rule.java or rule.pattern
+    p = F.lit(pattern)
     lengths = lambda c: F.transform(c, lambda x: F.length(x))
     parts = F.struct(
         lengths(F.regexp_extract_all(text, p, F.lit(0))).alias("size"),
-        lengths(F.split(text, rule.pattern, -1)).alias("gap"),
+        lengths(F.split(text, pattern, -1)).alias("gap"),
         lengths(F.regexp_extract_all(text, p, F.lit(rule.value_group))).alias("value"),
     )
 
@@ -217,7 +237,7 @@ def spans_of(rule: Rule, rank: int, text: Column, candidate: Column) -> Column:
         return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
 
     kept = let(parts, place)
-    return F.when(candidate & text.rlike(rule.pattern), kept).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    return F.when(candidate & text.rlike(pattern), kept).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
