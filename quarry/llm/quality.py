@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.common import column_or_null, each_row, table
 
 #: Word n-gram lengths and the largest share of characters inside repeated n-grams of that
-#: length (each occurrence counted), falling with the length as in published web-text filters.
-REPEATED_NGRAMS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+#: length (each occurrence counted): the limits of published web-text filters.
+REPEATED_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that equal an earlier line.
-REPEATED_LINES = 0.30
+REPEATED_LINES = 0.20
 SYMBOLS = "#*$%&|<>"
 #: Largest number of symbols per word.
 SYMBOLS_PER_WORD = 0.25

@@ -217,6 +217,17 @@ def test_quality_against_brute_force(monkeypatch):
     assert quality.measure(clean + " a b c d e f a b c d e f") == real
 
 
+def test_quality_rejects_what_only_the_method_finds():
+    rng, at = random.Random(17), {x.split()[0]: i - 1 for i, x in enumerate(quality.SCHEMA.split(", "))}
+    passage = sentence(rng, 12)
+    for others, kept in ((80, False), (300, True)):  # 12 words twice: over 10 % of the first, under 20 % of its words
+        m = quality.measure(f"{passage} {sentence(rng, others)} {passage} {sentence(rng, others)}")
+        assert not m[at["base_failed"]] and m[at["kept"]] is kept
+    text = "\n".join(x for _ in range(30) for x in ("one line of it", sentence(rng, 6)))
+    m = quality.measure(text)  # lines of four words repeat without a 5-gram in common
+    assert not m[at["base_failed"]] and not m[at["dup_chars_5"]] and 0.2 < m[at["dup_line_chars"]] / len(text) < 0.3 and not m[at["kept"]]
+
+
 def test_toxicity_learns_and_points(spark):
     rng = random.Random(8)
     rows, marks = [], []
