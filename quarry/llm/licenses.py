@@ -8,7 +8,7 @@ calibrates its probabilities, the unknown class's among them. A prediction stand
 probability is at least CERTAIN and the paragraph holds enough of one of the family's templates.
 
 Weights are array literals of fixed size. A paragraph is a line; only those with an anchor word
-are classified: every template has one, so the confirmation would turn the others down.
+are classified: without all of these no template has the share that confirms it.
 
 Cases: null and empty texts have no paragraphs, and rows without licences come out with none;
 rows that repeat are scanned each by itself; other columns are not looked at.
@@ -114,15 +114,13 @@ def buckets(words: list[str]) -> list[int]:
 
 @functools.cache
 def anchors() -> tuple[str, ...]:
-    """Few beginnings of words such that every template has one of them."""
-    left = [set(tokens(t)) for ts in TEMPLATES.values() for t in ts]
-    out = []
-    for a in ("licen", "permission", "redistribut", "permitted", "copyright"):
-        if any(any(w.startswith(a) for w in ws) for ws in left):
-            out.append(a)
-            left = [ws for ws in left if not any(w.startswith(a) for w in ws)]
-    if left:
-        raise ValueError(f"templates without an anchor: {left}")
+    """Few words such that what has none of them has less than CONFIRMED of every template's n-grams."""
+    ordinary = set("the this that these those under with along have should must shall will they which from your you may can any all and not are for use work terms following".split())
+    common, out = {w for t in OTHERS for w in tokens(t)}, []
+    for words in sorted((tokens(t) for ts in TEMPLATES.values() for t in ts), key=len):
+        of = [set(g.split()) for g in grams(words)]
+        while sum(not g & set(out) for g in of) >= CONFIRMED * len(of):
+            out.append(max(set(words) - set(out), key=lambda w: (w not in ordinary and len(w) > 3, w not in common, sum(w in g for g in of if not g & set(out)), len(w), w)))
     return tuple(out)
 
 

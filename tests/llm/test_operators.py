@@ -184,6 +184,23 @@ def test_licenses(spark):
     assert kind == "apache" and abs(float(got[0]["places"].split(":")[2]) - p) < 0.002
 
 
+def families(spark, texts):
+    got = {r["doc_id"]: r["families"] for r in licenses.license_scan(docs(spark, list(enumerate(texts)))).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_no_confirmable_paragraph_lacks_an_anchor(spark):
+    texts = [
+        "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written consent of the publisher.",
+        "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
+    ]
+    assert families(spark, texts) == ["proprietary"] * 2
+    names = set(licenses.anchors())
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        of = licenses.grams(licenses.tokens(t))
+        assert sum(not names & set(g.split()) for g in of) < licenses.CONFIRMED * len(of), t
+
+
 def brute_quality(text):
     text = text or ""
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
