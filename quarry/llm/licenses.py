@@ -47,6 +47,12 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under the Creative Commons Attribution-ShareAlike License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "Licensed under CC BY",
+        "Licensed under CC BY-SA",
+        "Licensed under CC BY-NC",
+        "Licensed under CC BY-ND",
+        "Licensed under CC BY-NC-SA",
+        "Licensed under CC BY-NC-ND",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -73,6 +79,7 @@ TEMPLATES = {
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited without a license.",
+        "All rights reserved.",
     ),
 }
 #: Sentences that use licences' words and are none: the unknown class learns from them.
