@@ -7,8 +7,10 @@ paragraphs that merely use the same words; a temperature fitted on held-out para
 calibrates its probabilities, the unknown class's among them. A prediction stands if the
 probability is at least CERTAIN and the paragraph holds enough of one of the family's templates.
 
-Weights are array literals of fixed size. A paragraph is a line; only those with an anchor word
-are classified: without all of these no template has the share that confirms it.
+Weights are array literals of fixed size. A paragraph is a line, or a window of words that
+reaches over line ends, so hard-wrapped notices are found too; a window counts unless one of its
+lines, or a window before that it overlaps, names the family already. Only paragraphs with an
+anchor word are classified: without all of these no template has the share that confirms it.
 
 Cases: null and empty texts have no paragraphs, and rows without licences come out with none;
 rows that repeat are scanned each by itself; other columns are not looked at.
@@ -232,16 +234,23 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     has = lambda c: functools.reduce(lambda x, y: x | y, [F.contains(c, F.lit(a)) for a in anchors()])
     rows = rows.withColumn("low", low).drop("text").withColumn("maybe", has(F.col("low")))
-    lines = F.transform(F.split("low", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("t")))
-    lines = F.filter(lines, lambda x: has(x["t"]))
-    lines = F.when(F.col("maybe"), lines).otherwise(F.expr("cast(array() as array<struct<line:int,t:string>>)"))
+    lines = F.transform(F.split("low", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.filter(F.split(x, _SPLIT, -1), lambda v: v != "").alias("words")))
+    lines = F.filter(lines, lambda x: F.size(x["words"]) > 0)
+    lines = F.when(F.col("maybe"), lines).otherwise(F.expr("cast(array() as array<struct<line:int,words:array<string>>>)"))
     rows = rows.withColumn("lines", lines).drop("low", "maybe")
+    named = lambda words: F.arrays_overlap(words, _strings(anchors()))
 
     def parts(x: Column) -> Column:
-        words = F.filter(F.split(x["t"], _SPLIT, -1), lambda v: v != "")
-        return F.transform(let(words, _windows), lambda v: F.struct(x["line"].alias("line"), _grams(v).alias("grams")))
+        return F.transform(let(x["words"], _windows), lambda v: F.struct(x["line"].alias("line"), x["line"].alias("to"), F.lit(False).alias("over"), v.alias("words")))
 
-    rows = rows.withColumn("parts", F.flatten(F.transform("lines", parts))).drop("lines")
+    def over_ends(lines: Column) -> Column:
+        words = F.flatten(F.transform(lines, lambda x: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), w.alias("word")))))
+        parts = F.transform(let(words, _windows), lambda v: F.struct(F.get(v, F.lit(0))["line"].alias("line"), F.get(v, F.size(v) - 1)["line"].alias("to"), F.lit(True).alias("over"), v["word"].alias("words")))
+        return F.filter(parts, lambda x: x["line"] < x["to"])
+
+    own = F.flatten(F.transform(F.filter("lines", lambda x: named(x["words"])), parts))
+    found = F.filter(F.concat(own, over_ends(F.col("lines"))), lambda x: named(x["words"]))
+    rows = rows.withColumn("parts", F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["to"].alias("to"), x["over"].alias("over"), _grams(x["words"]).alias("grams")))).drop("lines")
     # templates' own n-grams, for the confirmation
     shapes = [(k, grams(tokens(t))) for k, family in enumerate(FAMILIES) if k for t in TEMPLATES[family]]
 
@@ -257,22 +266,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
             return F.array(*[logit(k) for k in range(len(FAMILIES))])
 
-        return F.struct(x["line"].alias("line"), x["grams"].alias("grams"), let(numbers, logits).alias("z"))
+        return F.struct(*[x[c].alias(c) for c in ("line", "to", "over", "grams")], let(numbers, logits).alias("z"))
 
     rows = rows.withColumn("scored", F.transform("parts", scored)).drop("parts")
 
     def judged(x: Column) -> Column:
         top = F.array_max(x["z"])
         total = F.aggregate(F.transform(x["z"], lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v)
-        return F.struct(x["line"].alias("line"), x["grams"].alias("grams"), (F.array_position(x["z"], top) - 1).cast("int").alias("family"), (1 / total).alias("p"))
+        return F.struct(*[x[c].alias(c) for c in ("line", "to", "over", "grams")], (F.array_position(x["z"], top) - 1).cast("int").alias("family"), (1 / total).alias("p"))
 
     rows = rows.withColumn("judged", F.filter(F.transform("scored", judged), lambda x: (x["family"] > 0) & (x["p"] >= CERTAIN))).drop("scored")
 
     def confirmed(x: Column) -> Column:
         shares = [F.when(x["family"] == k, F.size(F.array_intersect(x["grams"], _strings(g))) / len(g)).otherwise(F.lit(0.0)) for k, g in shapes]
-        return F.struct(x["line"].alias("line"), F.get(_strings(FAMILIES), x["family"]).alias("family"), x["p"].alias("p"), F.greatest(*shares).alias("share"))
+        return F.struct(*[x[c].alias(c) for c in ("line", "to", "over")], F.get(_strings(FAMILIES), x["family"]).alias("family"), x["p"].alias("p"), F.greatest(*shares).alias("share"))
 
     rows = rows.withColumn("found", F.filter(F.transform("judged", confirmed), lambda x: x["share"] >= CONFIRMED)).drop("judged")
+    same = lambda x, y: (y["family"] == x["family"]) & (y["line"] <= x["to"]) & (y["to"] >= x["line"]) & (~y["over"] | (y["line"] < x["line"]))
+    first = F.filter("found", lambda x: ~x["over"] | ~F.exists("found", lambda y: same(x, y)))
+    rows = rows.withColumn("found", F.array_sort(first))
     return rows.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"),

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -184,6 +185,19 @@ def test_licenses(spark):
     assert kind == "apache" and abs(float(got[0]["places"].split(":")[2]) - p) < 0.002
 
 
+WRAPPED_MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
 def families(spark, texts):
     got = {r["doc_id"]: r["families"] for r in licenses.license_scan(docs(spark, list(enumerate(texts)))).collect()}
     return [got[i] for i in range(len(texts))]
@@ -214,6 +228,15 @@ def test_license_lines_of_documents(spark):
     assert want and all("" not in x and x == got[i] for i, x in want.items())
 
 
+def test_wrapped_notices(spark):
+    rng = random.Random(18)
+    gpl = textwrap.fill(licenses.TEMPLATES["gpl"][1], 72)
+    texts = [WRAPPED_MIT, gpl, f"{sentence(rng, 130)}\n{sentence(rng, 30)} {gpl}\n{sentence(rng, 200)}", "# " + gpl.replace("\n", "\n# ")]
+    assert families(spark, texts) == ["mit", "gpl", "gpl", "gpl"]
+    places = {r["doc_id"]: (r["n_paragraphs"], r["places"]) for r in licenses.license_scan(docs(spark, list(enumerate(texts)))).collect()}
+    assert places[1][0] == 1 and places[1][1].startswith("0:gpl:")
+
+
 def test_no_confirmable_paragraph_lacks_an_anchor(spark):
     texts = [
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written consent of the publisher.",
