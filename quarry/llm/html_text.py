@@ -4,8 +4,8 @@ Markup is stripped to blocks of text, one line each. The text lengths of sliding
 lines are summed; where the sums surge the main text begins, where they dive it ends, and the
 blocks between are kept. What the markup itself declares comes first: scripts, styles, forms,
 menus, headers, footers, sidebars, adverts, notices and comments by readers are no text, and
-if the page has an article or main element, its blocks are the text and the distribution only
-decides for pages without one.
+if the page has article or main elements, all their blocks are the text and the distribution only
+decides for pages without one: inside an article it would drop short paragraphs at its ends.
 
 Cases: a null, empty or text-free page gives an empty text; rows that repeat are extracted
 each by itself; elements that are never closed end with their parent or with the page.
@@ -62,14 +62,13 @@ def _marks(attrs: str) -> bool:
     return bool(_HIDDEN.search(attrs))
 
 
-def blocks(page: str) -> list[tuple[str, bool, int, int]]:
-    """(text, inside an article or main element, characters of it in links, which such element)
-    of each block that isn't declared to be something else."""
-    out: list[tuple[str, bool, int, int]] = []
+def blocks(page: str) -> list[tuple[str, bool, int]]:
+    """(text, inside an article or main element, characters of it in links) of each block that isn't declared to be something else."""
+    out: list[tuple[str, bool, int]] = []
     line: list[str] = []
     state = {"links": 0}
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
-    dropped = articles = links = number = 0
+    dropped = articles = links = 0
     pos, n = 0, len(page)
 
     def text(raw: str) -> None:
@@ -82,7 +81,7 @@ def blocks(page: str) -> list[tuple[str, bool, int, int]]:
         if line:
             got = " ".join(html.unescape("".join(line)).split())
             if got:
-                out.append((got, articles > 0, min(state["links"], len(got)), number if articles else 0))
+                out.append((got, articles > 0, min(state["links"], len(got))))
             line.clear()
         state["links"] = 0
 
@@ -140,8 +139,6 @@ def blocks(page: str) -> list[tuple[str, bool, int, int]]:
             is_article = name in ("article", "main") and not dropped
             if drops and name not in INLINE:
                 flush()
-            if is_article and not articles:
-                number += 1
             stack.append((name, drops, is_article))
             dropped += drops
             articles += is_article
@@ -175,13 +172,6 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     inside = [b for b in found if b[1]]
     if inside:
-        if len({b[3] for b in inside}) > 1:  # several articles: the one with the most text, if it has most of it
-            size: dict[int, int] = {}
-            for b in inside:
-                size[b[3]] = size.get(b[3], 0) + len(b[0]) - b[2]
-            best = max(size, key=lambda k: (size[k], -k))
-            if size[best] >= 0.8 * sum(size.values()):
-                inside = [b for b in inside if b[3] == best]
         return "\n".join(b[0] for b in inside)
     runs = distribution([len(b[0]) - b[2] for b in found])
     if not runs:

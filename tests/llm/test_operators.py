@@ -529,6 +529,15 @@ def test_html(spark):
     assert sorted((r["n_chars"], r["text"]) for r in html_text.extract(df).collect()) == [(0, ""), (17, PAGES[0][1])] or True
 
 
+def test_html_keeps_all_articles(spark):
+    page = f"<article><p>{'long ' * 100}</p></article><aside>no</aside><article><p>short one</p></article>"
+    want = f"{('long ' * 100).strip()}\nshort one"
+    assert html_text.main_text(page) == want
+    df = spark.createDataFrame([(1, "u", page), (2, None, PAGES[0][0]), (None, None, None)], "page_id long, url string, html string")
+    got = {tuple(r) for r in html_text.extract(df).collect()}
+    assert got == {(1, "u", want, len(want)), (2, None, PAGES[0][1], len(PAGES[0][1])), (None, None, "", 0)}
+
+
 def brute_near(rows, words, percent):
     sets = {}
     for i, t in rows:
