@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import column_or_null, each_row, table
 
-#: Lines in a window, the share of the largest window's sum at which text surges, and the
-#: fewest characters of a window there.
-WINDOW, SURGE, LEAST = 3, 0.2, 60
+#: Lines in a window, the share of the largest window's sum at which text surges, and the fewest
+#: characters of a window there. So many are always text, however long the longest block is.
+WINDOW, SURGE, LEAST, ENOUGH = 3, 0.2, 60, 80
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 #: Elements without content.
@@ -156,7 +156,7 @@ def distribution(sizes: list[int]) -> list[tuple[int, int]]:
     if not sizes:
         return []
     sums = [sum(sizes[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(len(sizes))]
-    low = max(SURGE * max(sums), min(LEAST, max(sums)))
+    low = min(ENOUGH, max(SURGE * max(sums), min(LEAST, max(sums))))
     runs, start = [], None
     for i, s in enumerate([*sums, -1]):
         if s >= low and start is None:

@@ -538,6 +538,13 @@ def test_html_keeps_all_articles(spark):
     assert got == {(1, "u", want, len(want)), (2, None, PAGES[0][1], len(PAGES[0][1])), (None, None, "", 0)}
 
 
+def test_a_long_block_silences_no_others():
+    sizes = [150, 150, 150, 6000, 150, 150, 150]
+    assert html_text.distribution(sizes) == [(0, 7)]
+    lines = [("word " * n)[: n - 1] + "x" for n in sizes]
+    assert html_text.main_text("<a href='/'>Home</a>" + "".join(f"<p>{x}</p>" for x in lines)) == "\n".join(" ".join(x.split()) for x in lines)
+
+
 def brute_near(rows, words, percent):
     sets = {}
     for i, t in rows:
