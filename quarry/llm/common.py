@@ -29,10 +29,14 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of
-    our own where it is unset (tests on one machine)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset,
+    a folder of our own serves on one machine; a cluster without a shared folder is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or "file:///tmp/quarry-checkpoints"
+    if found:
+        return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/quarry-checkpoints"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -53,6 +57,18 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> F.Column:
     return F.col(f"`{name}`").cast(kind)
 
 
+#: Rows, and about so many bytes, of a batch that are Python objects at one time.
+FEW_ROWS, FEW_BYTES = 1000, 4 << 20
+
+
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that are small enough to become Python objects."""
+    for b in batches:
+        step = max(1, min(FEW_ROWS, b.num_rows * FEW_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
     """mapInArrow with plain lists: fn(batches of column lists) yields row lists to be written.
 
@@ -63,7 +79,7 @@ def map_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[..., Ite
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = (tuple(c.to_pylist() for c in b.columns) for b in batches if b.num_rows)
+        lists = (tuple(c.to_pylist() for c in b.columns) for b in few_rows(batches))
         for rows in fn(lists):
             if rows:
                 cols = list(zip(*rows, strict=True))
@@ -82,12 +98,32 @@ def each_row(df: DataFrame, schema: str | T.StructType, fn: Callable[..., tuple]
     return map_columns(df, schema, run)
 
 
+def map_groups(df: DataFrame, keys: list[str], schema: str | T.StructType, fn: Callable[..., list[tuple]]) -> DataFrame:
+    """fn(*columns as lists) -> rows, for each group of the keys, which must be of bounded size. keys come first in df."""
+    rows = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[tuple]) -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        for cols in batches:
+            out = []
+            for row in zip(*cols, strict=True):
+                if held and row[: len(keys)] != held[0][: len(keys)]:
+                    out += fn(*map(list, zip(*held, strict=True)))
+                    held = []
+                held.append(row)
+            yield out
+        if held:
+            yield fn(*map(list, zip(*held, strict=True)))
+
+    return map_columns(rows, schema, run)
+
+
 def filter_rows(df: DataFrame, id_col: str, text_col: str, make_test: Callable[[], Callable[[int | None, str | None], bool]]) -> DataFrame:
     """The rows of df for which the test made once in each task is true, with all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make_test()
-        for b in batches:
+        for b in few_rows(batches):
             ids, texts = b.column(b.schema.get_field_index(id_col)).to_pylist(), b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield b.filter(pa.array([bool(test(i, t)) for i, t in zip(ids, texts, strict=True)], pa.bool_()))
 

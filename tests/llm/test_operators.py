@@ -601,6 +601,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in left.collect()} == {i for i, x in want.items() if x[2]}
 
 
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(16)
+    draw = lambda: np.unique(rng.choice(np.array([1, 2, 3, 5, 300, 7000] * 40 + list(range(9000, 15000)), np.uint64), rng.integers(0, 400)))
+    a, b = [draw() for _ in range(70)], [draw() for _ in range(50)]
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    for at_once in (100, 4_000_000):
+        assert near_dups.intersections(a, b, at_once).tolist() == want
+    assert near_dups.intersections([], b).shape == (0, 50)
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(14)
     for share in (0.7, 0.8, 0.9, 0.97):
