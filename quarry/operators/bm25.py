@@ -7,11 +7,12 @@ shuffle, and a text of any length is scored by the task that reads it.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import byte_prefix, chunks, empty_array, let, terms, with_bigrams
+from quarry.functions.text import byte_prefix, chunks, empty_array, let, stem, terms, with_bigrams, words
 
 K1, B = 1.2, 0.75
 ELLIPSIS = " [...]"
@@ -23,13 +24,50 @@ def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
     return dict(Counter(row["t"]))
 
 
-def chunk_scores(chunk_terms: Column, query: dict[str, int]) -> Column:
-    """Score of each chunk, from an array of the chunks' term arrays. A term that the query has m
-    times counts m times, in the number of chunks that have it too."""
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def may_hit(text: Column, query: dict[str, int]) -> Column:
+    """False only if no chunk of the text can have a term of the query: a stem is the beginning of
+    its word, and a pair of terms needs both."""
+    low = F.lower(text)
+    return _any([F.contains(low, F.lit(t)) for t in query if "_" not in t] or [F.lit(False)])
+
+
+def _counts(chunk: Column, query: dict[str, int]) -> Column:
+    """The number of a chunk's terms (pairs of neighbours are terms too), and how often it has each
+    of the query's. Only words that begin like one of the query's terms are stemmed."""
+    single = [t for t in query if "_" not in t]
+
+    def of_words(found: Column) -> Column:
+        size = F.size(found) + F.greatest(F.size(found) - 1, F.lit(0))
+
+        def tf(stems: Column) -> Column:
+            n = F.greatest(F.size(stems) - 1, F.lit(0))
+
+            def times(t: str) -> Column:
+                if "_" not in t:
+                    return F.size(F.filter(stems, lambda x: x == t)).cast("double")
+                a, b = t.split("_")
+                pairs = F.zip_with(F.slice(stems, F.lit(1), n), F.slice(stems, F.lit(2), n), lambda x, y: (x == a) & (y == b))
+                return F.size(F.filter(pairs, lambda x: x)).cast("double")
+
+            return F.array(*[times(t) for t in query])
+
+        stems = F.transform(found, lambda w: F.when(_any([F.startswith(w, F.lit(t)) for t in single]), stem(w)).otherwise(F.lit("")))
+        counted = F.when(may_hit(chunk, query), let(stems, tf)).otherwise(F.array(*[F.lit(0.0)] * len(query)))
+        return F.struct(size.cast("double").alias("size"), counted.alias("tf"))
+
+    return let(words(chunk), of_words)
+
+
+def chunk_scores(parts: Column, query: dict[str, int]) -> Column:
+    """Score of each chunk of an array. A term that the query has m times counts m times, in the
+    number of chunks that have it too."""
     names = list(query)
     if not names:
-        return F.transform(chunk_terms, lambda t: F.lit(0.0))
-    asked = F.array(*[F.lit(t) for t in names])
+        return F.transform(parts, lambda t: F.lit(0.0))
 
     def of_all(found: Column) -> Column:
         """found: of each chunk its length and how often it has each of the query's terms."""
@@ -41,13 +79,12 @@ def chunk_scores(chunk_terms: Column, query: dict[str, int]) -> Column:
 
         def of_chunk(c: Column, s: Column) -> Column:
             part = lambda f, w: w * (f * (K1 + 1)) / (f + K1 * (1 - B + B * c["size"] / s["mean"]))
-            parts = F.zip_with(c["tf"], s["weights"], lambda f, w: F.when(f > 0, part(f, w)).otherwise(F.lit(0.0)))
-            return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+            each = F.zip_with(c["tf"], s["weights"], lambda f, w: F.when(f > 0, part(f, w)).otherwise(F.lit(0.0)))
+            return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
 
         return let(state, lambda s: F.transform(found, lambda c: of_chunk(c, s)))
 
-    count = lambda t: F.struct(F.size(t).cast("double").alias("size"), F.transform(asked, lambda q: F.size(F.filter(t, lambda x: x == q)).cast("double")).alias("tf"))
-    return let(F.transform(chunk_terms, count), of_all)
+    return let(F.transform(parts, lambda p: _counts(p, query)), of_all)
 
 
 def _having(found: Column, k: int) -> Column:
@@ -55,13 +92,14 @@ def _having(found: Column, k: int) -> Column:
 
 
 def scored_chunks(text: Column, query: dict[str, int]) -> Column:
-    """(idx, score, text) of each chunk of a text."""
+    """(idx, score, text) of each chunk of a text; none of a text that has no term of the query,
+    whose chunks would all score 0."""
 
     def score(parts: Column) -> Column:
-        scores = chunk_scores(F.transform(parts, lambda p: with_bigrams(terms(p))), query)
+        scores = chunk_scores(parts, query)
         return F.zip_with(F.transform(parts, lambda p, i: F.struct(i.alias("idx"), p.alias("text"))), scores, lambda x, s: F.struct(x["idx"].alias("idx"), s.alias("score"), x["text"].alias("text")))
 
-    return let(chunks(text), score)
+    return F.when(may_hit(text, query), let(chunks(text), score)).otherwise(empty_array("struct<idx:int,score:double,text:string>"))
 
 
 def compress(text: Column, query: dict[str, int], budget: Column) -> Column:

@@ -120,11 +120,12 @@ def index_stats(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in units of 1024, with one decimal."""
+    """Bytes in units of 1024, with one decimal; halves go to the even digit."""
+    units = lambda unit: F.bround(n / unit, 1)
     return (
-        F.when(n >= 1 << 30, F.format_string("%.1f GB", n / (1 << 30)))
-        .when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20)))
-        .when(n >= 1 << 10, F.format_string("%.1f KB", n / (1 << 10)))
+        F.when(n >= 1 << 30, F.format_string("%.1f GB", units(1 << 30)))
+        .when(n >= 1 << 20, F.format_string("%.1f MB", units(1 << 20)))
+        .when(n >= 1 << 10, F.format_string("%.1f KB", units(1 << 10)))
         .otherwise(F.format_string("%d B", n))
     )
 

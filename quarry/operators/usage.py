@@ -6,6 +6,8 @@ extra_args, capped, pf_skip, pf_pass.
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,21 +24,45 @@ RETRY_SECONDS = 90
 TOP_EMPTY, TOP_FLAGS, TOP_DUPLICATES = 10, 8, 5
 #: Consecutive numbers of the log that one task puts in order.
 BUCKET = 65_536
+#: Besides the event, a line has when it was written and by whom: the order of the log.
+ORDER_SCHEMA = "written_ns bigint, writer string"
+HOUR_NS = 3600 * 10**9
+_WRITER = uuid.uuid4().hex
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON lines, in the order of the log; unreadable lines are left out, absent
-    fields are 0, false or empty."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    got = F.from_json("value", LOG_SCHEMA + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    rows = lines.where("trim(value) <> ''").select("seq", got.alias("e")).where("e IS NOT NULL AND e.__bad IS NULL").select("seq", "e.*").drop("__bad")
+    """Events of JSON lines, numbered in the order of the log; unreadable lines are left out, absent
+    fields are 0, false or empty.
+
+    Order is when a line was written, as the line says, and then its writer. Lines without that
+    come in the order of their files' times and of the lines in a file, after those of the same
+    hour that have it. The lines of an hour, or of a block of a file, are put in order by one task;
+    a window over one row for each of these numbers them through."""
+    file = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        "value", F.unix_micros(file["file_modification_time"]).alias("__file_us"), file["file_path"].alias("__path"), file["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__line")
+    )
+    got = F.from_json("value", f"{LOG_SCHEMA}, {ORDER_SCHEMA}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    rows = lines.where("trim(value) <> ''").withColumn("e", got).where("e IS NOT NULL AND e.__bad IS NULL")
+    own = F.col("e.written_ns").isNotNull()
+    ns = F.coalesce("e.written_ns", F.col("__file_us") * 1000)
+    rows = rows.withColumns({
+        "__hour": F.floor(ns / HOUR_NS), "__path": F.when(own, "").otherwise(F.col("__path")), "__block": F.when(own, 0).otherwise(F.col("__block")),
+        "__ns": ns, "__writer": F.coalesce("e.writer", F.lit("")),
+    })
+    part = ["__hour", "__path", "__block"]
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*part).orderBy("__ns", "__writer", "__line")))
+    before = F.sum("__size").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("__size")).select(*part, F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.join(sizes, part).select((F.col("__before") + F.col("__n") - 1).alias("seq"), "e.*").drop("__bad", "written_ns", "writer")
     return rows.fillna("").fillna(0).fillna(False)
 
 
 def append_event(spark: SparkSession, path: str, ts: datetime, **event) -> None:
-    """Adds one event to the log, as a file of its own."""
+    """Adds one event to the log, as a file of its own; the event says when it was written."""
     row = {"ts": ts.strftime("%Y-%m-%dT%H:%M:%SZ"), **event}
-    spark.createDataFrame([row], LOG_SCHEMA).write.mode("append").json(path)
+    row = {"written_ns": time.time_ns(), "writer": _WRITER} | row
+    spark.createDataFrame([row], f"{LOG_SCHEMA}, {ORDER_SCHEMA}").write.mode("append").json(path)
 
 
 def last_days(events: DataFrame, now: datetime, days: int = WINDOW_DAYS) -> DataFrame:
@@ -90,35 +116,38 @@ def duplicates(events: DataFrame) -> DataFrame:
 
 
 def chained(events: DataFrame, gap: int = RETRY_SECONDS, at: str = "at") -> DataFrame:
-    """events with chain: the seq of the first event of its run. A run goes on while the next
-    event, in log order, is less than gap seconds later (or earlier); an unreadable time breaks it.
+    """events with chain, the seq of the first event of its run, and scope_before, the scope of the
+    event before it in its run. A run goes on while the next event, in log order, is less than
+    gap seconds later (or earlier); an unreadable time breaks it.
 
-    The log is put in order bucket by bucket of its numbers. What runs on over a bucket's edge is
-    stitched by a window over one row a bucket, so no task orders the whole log."""
+    The log is put in order bucket by bucket of its numbers, and a window over one row a bucket
+    stitches the edges, so no task orders the whole log, however long a run is."""
     rows = events.withColumn("__bucket", F.floor(F.col("seq") / BUCKET))
     w = Window.partitionBy("__bucket").orderBy("seq")
-    new = lambda before: ~F.coalesce(F.col(at) < before + F.expr(f"INTERVAL {gap} SECONDS"), F.lit(False))
-    rows = rows.withColumns({"__before": F.lag(at).over(w), "__first": F.row_number().over(w) == 1})
-    edges = rows.groupBy("__bucket").agg(F.min(F.struct("seq", at)).alias("first"), F.max(F.struct("seq", at)).alias("last"))
-    edges = edges.withColumn("__last", F.lag(F.col(f"last.{at}")).over(Window.orderBy("__bucket"))).select("__bucket", "__last")
-    rows = rows.join(edges, "__bucket").withColumn("__new", new(F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__before"))))
-    # the last start in or before the row's bucket
+    goes_on = lambda now, before: F.coalesce(now < before + F.expr(f"INTERVAL {gap} SECONDS"), F.lit(False))
+    rows = rows.withColumns({"__before": F.lag(F.struct(F.col(at).alias("at"), "scope")).over(w), "__first": F.row_number().over(w) == 1})
+    rows = rows.withColumn("__new", ~F.col("__first") & ~goes_on(F.col(at), F.col("__before.at")))
     start = F.when(F.col("__new"), F.col("seq"))
     rows = rows.withColumn("__start", F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("__bucket").agg(F.max(start).alias("__end"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("__bucket", F.last("__end", ignorenulls=True).over(before).alias("__open"))
-    return rows.join(ends, "__bucket").withColumn("chain", F.coalesce("__start", "__open")).drop("__bucket", "__before", "__first", "__last", "__new", "__start", "__open")
+    edge = F.struct("seq", F.col(at).alias("at"), "scope")
+    edges = rows.groupBy("__bucket").agg(F.min_by(edge, "seq").alias("first"), F.max_by(edge, "seq").alias("last"), F.max(start).alias("start"))
+    over = Window.orderBy("__bucket")
+    edges = edges.withColumn("before", F.lag("last").over(over)).withColumn("new", ~goes_on(F.col("first.at"), F.col("before.at")))
+    # the start of the run that is open at a bucket's end, if it is in that bucket
+    edges = edges.withColumn("own", F.coalesce("start", F.when(F.col("new"), F.col("first.seq"))))
+    edges = edges.withColumn("open", F.last("own", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    edges = edges.select("__bucket", F.when(F.col("new"), F.col("first.seq")).otherwise(F.col("open")).alias("__open"), F.when(~F.col("new"), F.col("before.scope")).alias("__scope"))
+    scope = F.when(F.col("__first"), F.col("__scope")).when(~F.col("__new"), F.col("__before.scope"))
+    rows = rows.join(edges, "__bucket").withColumns({"chain": F.coalesce("__start", "__open"), "scope_before": scope})
+    return rows.drop("__bucket", "__before", "__first", "__new", "__start", "__open", "__scope")
 
 
 def retry_chains(events: DataFrame, gap: int = RETRY_SECONDS) -> DataFrame:
     """Runs of more than one search: first seq, length, wasted milliseconds (of empty searches)
     and whether a search of a project was followed by one of everything."""
-    rows = chained(events, gap)
-    before = F.lag("scope").over(Window.partitionBy("chain").orderBy("seq"))
-    rows = rows.withColumn("escalated", F.coalesce((before == "project") & (F.col("scope") == "all"), F.lit(False)))
-    return rows.groupBy("chain").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("results") == 0, F.col("ms")).otherwise(F.lit(0))).alias("wasted_ms"), F.count_if("escalated").alias("escalations")
+    escalated = (F.col("scope_before") == "project") & (F.col("scope") == "all")
+    return chained(events, gap).groupBy("chain").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("results") == 0, F.col("ms")).otherwise(F.lit(0))).alias("wasted_ms"), F.count_if(escalated).alias("escalations")
     ).where("n > 1")
 
 
@@ -140,8 +169,16 @@ def longest_chain_patterns(events: DataFrame, gap: int = RETRY_SECONDS) -> DataF
 
 
 def report(events: DataFrame, now: datetime) -> list[str]:
-    """The usage report. Only aggregates and top-k rows come to the driver."""
-    events = last_days(events, now).withColumn("at", F.try_to_timestamp("ts"))
+    """The usage report. Its sections are aggregates of one cached log; the two lists that have no
+    top-k, patterns that the pre-filter rejected and the longest chain, come partition by partition."""
+    events = last_days(events, now).withColumn("at", F.try_to_timestamp("ts")).cache()
+    try:
+        return _report(events)
+    finally:
+        events.unpersist()
+
+
+def _report(events: DataFrame) -> list[str]:
     s = summary(events).first()
     if not s["total"]:
         return ["no searches in the last 30 days"]
@@ -154,13 +191,13 @@ def report(events: DataFrame, now: datetime) -> list[str]:
     n = rejected.agg(F.sum("n")).first()[0]
     if n:
         out.append(f"pre-filter turned down every file: {n}")
-        out += [f"  {r['pattern']}" for r in rejected.orderBy("first_seq").limit(TOP_EMPTY).collect()]
+        out += [f"  {r['pattern']}" for r in rejected.orderBy("first_seq").toLocalIterator()]
     out += [f"empty: {r['label']}" for r in empty_patterns(events).collect()]
     out += [f"flag {r['flag']}: {r['n']} ({r['pct']}%)" for r in flags(events).collect()]
     c = chain_stats(events).first()
     if c["chains"]:
         out.append(f"retry chains: {c['chains']}, average length {c['avg_length']:.1f}, wasted {c['wasted_ms']} ms, scope escalations {c['escalations']}")
-        out.append("longest: " + " > ".join(r["pattern"] for r in longest_chain_patterns(events).limit(50).collect()))
+        out.append("longest: " + " > ".join(r["pattern"] for r in longest_chain_patterns(events).toLocalIterator()))
     out += [f"repeated: {r['pattern']} ({r['scope']}, {r['n']}x)" for r in duplicates(events).orderBy(F.desc("n"), "pattern", "scope").limit(TOP_DUPLICATES).collect()]
     return out
 

@@ -54,6 +54,19 @@ def test_log_and_report(spark, tmp_path):
     assert usage.report(log.limit(0), now) == ["no searches in the last 30 days"]
 
 
+def test_the_log_is_read_in_the_order_it_was_written(spark, tmp_path):
+    path, start = f"{tmp_path}/log", datetime(2024, 5, 1)
+    for i in range(8):  # a file each, 600 s apart
+        usage.append_event(spark, path, start + timedelta(seconds=600 * i), pattern=f"p{i}", results=0, scope="all")
+    log = usage.read_log(spark, path)
+    assert [(r["seq"], r["pattern"]) for r in log.orderBy("seq").collect()] == [(i, f"p{i}") for i in range(8)]
+    assert usage.retry_chains(log.withColumn("at", F.try_to_timestamp("ts"))).count() == 0
+    # a plain log: one file, no order in the lines themselves
+    with open(f"{tmp_path}/plain.jsonl", "w") as f:
+        f.write("".join(json.dumps({"ts": f"2024-05-01T00:{m:02}:00Z", "pattern": str(m)}) + "\n" for m in (5, 1, 9, 2)))
+    assert [r["pattern"] for r in usage.read_log(spark, f"{tmp_path}/plain.jsonl").orderBy("seq").collect()] == ["5", "1", "9", "2"]
+
+
 def test_streaming_chains_equal_the_batch(spark, tmp_path):
     rows = events(spark, [0, 10, 20, 110, 300, 389, 500]).withColumn("log_id", F.lit(1) + F.col("seq") * 0)
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
