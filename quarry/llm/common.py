@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarry.sources.shared import scratch, shared_dir  # noqa: F401
+
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -28,22 +29,6 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *parts])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset,
-    a folder of our own serves on one machine; a cluster without a shared folder is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file:///tmp/quarry-checkpoints"
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so a lost executor costs no rerun."""
     spark = df.sparkSession
