@@ -32,6 +32,8 @@ from quarry.llm.tokens import BytePairIds
 CAPACITY = 2048
 #: Windows in a block, and the longest piece that differencing deals: shorter pieces balance better.
 BLOCK_WINDOWS, PIECE = 128, 512
+#: Pieces of a block at most, and the tokens below which pieces are dealt together.
+BLOCK_PIECES, GRAIN = 32_768, 16
 #: Tokens for each window by which the windows of a block may differ before one overflows.
 SLACK = 4
 END_ID = 1
@@ -40,14 +42,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
     """k groups of the indices of sizes, with sums as near to each other as differencing gets."""
-    # A partial partition: its k sums, falling, less the smallest; and the trees of its groups.
-    heap: list[tuple[int, int, np.ndarray, list]] = []
-    for i, x in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = x
-        groups: list = [None] * k
-        groups[0] = i
-        heap.append((-x, i, sums, groups))
+    # A partial partition: the sums above its smallest one, falling, and their groups' trees; the
+    # groups at the smallest sum, if they have anything. Groups that are still empty take no room.
+    heap: list[tuple[int, int, list[int], list]] = [(-x, i, [x], [i]) for i, x in enumerate(sizes)]
     if not heap:
         return [[] for _ in range(k)]
     heapq.heapify(heap)
@@ -55,17 +52,23 @@ def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, a, ga = heapq.heappop(heap)
         _, _, b, gb = heapq.heappop(heap)
-        sums = a + b[::-1]
-        both = [x if y is None else y if x is None else (x, y) for x, y in zip(ga, reversed(gb), strict=True)]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        groups = [both[i] for i in order.tolist()]
-        sums = sums - sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), tick, sums, groups))
+        # the largest of one with the smallest of the other: only where both have k groups in all do they meet
+        meet = len(a) + len(b) - k
+        rows = [(x, g) for x, g in zip(a, ga, strict=True)]
+        if meet > 0:
+            low = rows[len(a) - meet :]
+            rows = rows[: len(a) - meet]
+            rows += [(x + y, (g, h)) for (x, g), y, h in zip(low, reversed(b[-meet:]), reversed(gb[-meet:]), strict=True)]
+            b, gb = b[:-meet], gb[:-meet]
+        rows += zip(b, gb, strict=True)
+        rows.sort(key=lambda r: -r[0])
+        least = rows[-1][0] if len(rows) == k else 0
+        # groups at the smallest sum stay in the list: they aren't empty
+        heapq.heappush(heap, (-(rows[0][0] - least), tick, [x - least for x, _ in rows], [g for _, g in rows]))
         tick += 1
     out = []
     for tree in heap[0][3]:
-        flat, todo = [], [tree] if tree is not None else []
+        flat, todo = [], [tree]
         while todo:
             x = todo.pop()
             if isinstance(x, tuple):
@@ -73,7 +76,7 @@ def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
             else:
                 flat.append(x)
         out.append(flat)
-    return out
+    return out + [[] for _ in range(k - len(out))]
 
 
 def deal(sizes: list[int], capacity: int = CAPACITY, slack: int = SLACK) -> tuple[list[list[int]], int]:
@@ -113,7 +116,7 @@ class Packer:
         if full < n:
             self.rest.append((doc_id, full, ids[4 * full :], n))
             self.held += n - full
-        return rows + (self.flush() if self.held >= self.windows * self.capacity else [])
+        return rows + (self.flush() if self.held >= self.windows * self.capacity or len(self.rest) >= BLOCK_PIECES else [])
 
     def flush(self) -> list[tuple]:
         """Packs what is held."""
@@ -143,10 +146,21 @@ class Packer:
             for at in range(0, len(ids) // 4, self.piece)
         ]
         self.rest, self.held = [], 0
-        if pieces:
-            groups, _ = deal([len(p[2]) // 4 for p in pieces], self.capacity)
+        # tiny pieces go in bundles, each dealt as one
+        bundles: list[list[tuple]] = []
+        room = 0
+        for p in pieces:
+            size = len(p[2]) // 4
+            if size < GRAIN and room > 0:
+                bundles[-1].append(p)
+                room -= size
+            else:
+                bundles.append([p])
+                room = GRAIN - size
+        if bundles:
+            groups, _ = deal([sum(len(p[2]) // 4 for p in x) for x in bundles], self.capacity)
             for g in groups:
-                rows += self._sequence([pieces[i] for i in g])
+                rows += self._sequence([p for i in g for p in bundles[i]])
         return rows
 
 

@@ -119,9 +119,9 @@ def test_byte_pair_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
     mine, rng = tokens.BytePairIds.shared(), random.Random(2)
-    for t in TEXTS + ["<|endoftext|>"] + ["".join(rng.choice("abé xz'\n語\t ") for _ in range(60)) for _ in range(300)]:
+    real = [t for (t,) in connect().sql("SELECT text FROM documents WHERE text IS NOT NULL LIMIT 100").fetchall()]
+    for t in TEXTS + ["<|endoftext|>", "a <|endoftext|>b  \r\n\t  c'll 12½³ x" + "y" * 100] + real + ["".join(rng.choice("abé xz'\n語\t ") for _ in range(60)) for _ in range(300)]:
         assert np.frombuffer(mine(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
 
 
@@ -152,8 +152,48 @@ def test_packing_keeps_every_token(spark):
     assert padding < 0.02 * total
 
 
+def plain_differencing(sizes, k):
+    """The sums by the definition: full rows of k sums, the two with the largest spread merged."""
+    rows = [sorted([x] + [0] * (k - 1), reverse=True) for x in sizes]
+    while len(rows) > 1:
+        rows.sort(key=lambda r: r[-1] - r[0])
+        a, b = rows.pop(0), rows.pop(0)
+        both = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+        rows.append([x - both[-1] for x in both])
+    return rows[0]
+
+
 def test_differencing():
-    assert sorted(sum(x) for x in [[8, 7, 6, 5, 4][i] for g in packing.multiway_difference([8, 7, 6, 5, 4], 2) for i in g] and [[sum([8, 7, 6, 5, 4][i] for i in g)] for g in packing.multiway_difference([8, 7, 6, 5, 4], 2)]) == [14, 16]
+    sums = lambda sizes, k: sorted(sum(sizes[i] for i in g) for g in packing.multiway_difference(sizes, k))
+    assert sums([8, 7, 6, 5, 4], 2) == [14, 16]
+    rng = random.Random(41)
+    for _ in range(60):  # distinct sizes, so that no ties leave a choice
+        k = rng.randint(1, 7)
+        sizes = rng.sample(range(1, 4000), rng.randint(1, 25))
+        want = plain_differencing(sizes, k)
+        got = sums(sizes, k)
+        assert sum(got) == sum(sizes) and len(got) == k
+        assert got[-1] - got[0] <= max(want[0] - want[-1], 0) + max(sizes) // 4
+
+
+def test_tiny_documents_take_little_memory():
+    import tracemalloc
+
+    packer, end, n = packing.Packer(0), b"\1\0\0\0", 262_144
+    tracemalloc.start()
+    seen = defaultdict(int)
+    for i in range(n):
+        for r in packer.add(i, end):
+            seen[r[5]] += r[2]
+    for r in packer.flush():
+        seen[r[5]] += r[2]
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert sum(seen.values()) == n and max(seen.values()) <= 2048
+    assert sum(2048 - x for x in seen.values() if x & (x - 1)) < 0.02 * n
+
+
+def test_differencing_fits_windows():
     groups, rose = packing.deal([1500, 1500, 1500], 2048)
     assert (len(groups), rose) == (3, 0) and sorted(i for g in groups for i in g) == [0, 1, 2]
     groups, rose = packing.deal([1100, 1100, 1100], 2048)  # two windows cannot hold them
