@@ -1,19 +1,23 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-1. One pass counts in how many documents each word n-gram of a test item occurs.
-2. An item's seeds are its n-grams that are rare: in few documents, or in few compared with the
-   median of that item's n-grams. However often a leaked item occurs, its own n-grams stay seeds,
-   those that edited copies kept among them, so frequent leaks are found like others.
-3. A second pass joins documents to items by the seeds, and around each seed's place aligns the
-   item's words with the document's. Local alignment gives credit for kept words and charges
-   substituted, dropped and added ones, so edited and paraphrased copies score too.
+1. One pass counts in how many documents each word pair of a test item occurs.
+2. An item's seeds are its rarest pairs. An alignment that scores enough has at least need(n) of the
+   n words' pairs unbroken (so many edits would cost more than its matches bring), so of all pairs
+   but the need(n) - 1 most frequent ones it has one: as seeds they lose no copy, however it was
+   edited and however frequent it is. Items too short for that take words instead of pairs.
+3. A second pass joins documents to items by the seeds. An item whose pairs are near each other in
+   often enough, and whose words fill a window well enough, for a sufficient score is aligned with the
+   document there. Local alignment gives credit for kept words and charges substituted, dropped and
+   added ones, so edited and paraphrased copies score too.
+
+No step before the alignment turns down what the alignment would accept.
 
 Test items are taken in blocks of bounded size, which every task holds; documents stream by.
 Nothing but counts of the items' own n-grams is shuffled.
 
-Cases: a null or word-free document matches nothing, and so does such an item; an item shorter
-than a seed has itself as its seed; rows that repeat are matched each by itself, and an item's
-rows too; an item found several times in a document is one row, with its best place.
+Cases: a null or word-free document matches nothing, and so does such an item; rows that repeat are
+matched each by itself, and an item's rows too; an item found several times in a document is one
+row, with its best place, the first of equals.
 """
 
 from __future__ import annotations
@@ -27,9 +31,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import column_or_null, filter_rows, map_columns, table
 
-#: Words in a seed; an n-gram is rare if it occurs in so many documents at most, or in at most so
-#: many times as many as the median of its item's n-grams.
-SEED, RARE, RARE_TIMES = 3, 16, 4
 #: Score of an equal word, of another word in its place, and of a dropped or added word.
 MATCH, OTHER, GAP = 5, -3, -3
 #: The least score that is a copy, as a share of the item's own.
@@ -60,6 +61,19 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def need(n: int) -> int:
+    """The pairs of neighbours that an alignment of enough score keeps of an item's n words. With m
+    words matched, its e edits cost no more than what m matches bring beyond that score, and e edits
+    leave the m words in e + 1 runs at most."""
+    cost = min(-OTHER, -GAP)
+    return min(max(0, m - 1 - int((MATCH * m - LEAST * MATCH * n) // cost)) for m in range(-(-n // 2), n + 1))
+
+
+def span(n: int) -> int:
+    """The most words of a document that an alignment of enough score covers."""
+    return n + int((MATCH * n - LEAST * MATCH * n) // -GAP)
+
+
 class Items:
     """A block of test items: their words' numbers, n-grams and, once chosen, seeds."""
 
@@ -71,15 +85,16 @@ class Items:
             if item_id is not None and found:
                 self.items.append((item_id, np.array([self.number.setdefault(w, len(self.number)) for w in found], np.int64)))
         self.base = len(self.number) + 1
-        self.sizes = sorted({min(SEED, len(w)) for _, w in self.items})
         keys: dict[int, int] = {}
-        self.grams = []  # of each item: (place, n-gram's number)
+        self.sizes, self.grams, self.need = [], [], []  # of each item: words in a gram, its grams' numbers by place, how many a copy has
         for _, w in self.items:
-            n = min(SEED, len(w))
-            self.grams.append([(i, keys.setdefault(int(k), len(keys))) for i, k in enumerate(self.keys(w, n))])
+            n = need(len(w))
+            self.sizes.append(2 if n else 1)
+            self.need.append(n or -(-len(w) // 2))
+            self.grams.append(np.array([keys.setdefault(int(k), len(keys)) for k in self.keys(w, self.sizes[-1])], np.int64))
         self.sorted_keys = np.array(sorted(keys), np.int64)
         self.of_sorted = np.array([keys[k] for k in self.sorted_keys.tolist()], np.int64)
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        self.vocabulary = [np.unique(w, return_counts=True) for _, w in self.items]
 
     def keys(self, ids: np.ndarray, n: int) -> np.ndarray:
         """A number for each window of n words; numbers of different lengths differ. -1: a word no item has."""
@@ -100,7 +115,7 @@ class Items:
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document and the numbers of the items' n-grams there."""
         places, grams = [], []
-        for n in self.sizes:
+        for n in sorted(set(self.sizes)):
             keys = self.keys(ids, n)
             at = np.flatnonzero(keys >= 0)
             if len(at):
@@ -114,52 +129,73 @@ class Items:
         return np.concatenate(places), np.concatenate(grams)
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """counts: of documents, by n-gram. Rare n-grams become seeds."""
+        """counts: of documents, by n-gram. The rarest ones, as many as lose no copy, become seeds."""
+        of: dict[int, list[int]] = {}
         for i, grams in enumerate(self.grams):
-            found = counts[[g for _, g in grams]]
-            most = max(RARE, RARE_TIMES * float(np.median(found)))
-            for (place, g), n in zip(grams, found.tolist(), strict=True):
-                if n <= most:
-                    self.seeds.setdefault(g, []).append((i, place))
-        self.is_seed = np.zeros(len(self.of_sorted), bool)
-        self.is_seed[list(self.seeds)] = True
+            order = np.argsort(counts[grams], kind="stable")
+            for g in set(grams[order[: len(grams) - self.need[i] + 1]].tolist()):
+                of.setdefault(g, []).append(i)
+        lists = [of.get(g, []) for g in range(len(self.of_sorted))]
+        self.seeded = np.array([i for x in lists for i in x], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.present = np.zeros(len(self.of_sorted), bool)
+
+    def candidates(self, grams: np.ndarray) -> list[int]:
+        """Items with a seed among a document's n-grams, and with as many n-grams as a copy has."""
+        found = np.unique(grams)
+        low, size = self.ends[found], self.ends[found + 1] - self.ends[found]
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self.present[found] = True
+        out = [i for i in np.unique(self.seeded[at]).tolist() if np.count_nonzero(self.present[self.grams[i]]) >= self.need[i]]
+        self.present[found] = False
+        return out
+
+    def regions(self, i: int, ids: np.ndarray, places: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a document outside which no alignment with an item scores enough."""
+        n, k, width = len(self.items[i][1]), self.need[i], span(len(self.items[i][1]))
+        at = np.unique(places[np.isin(grams, self.grams[i])])
+        first, last = at[: len(at) - k + 1], at[k - 1 :]
+        near = last - first < width
+        out: list[tuple[int, int]] = []
+        for a, b in zip((last[near] + self.sizes[i] - width).tolist(), (first[near] + width).tolist(), strict=True):
+            a, b = max(0, a), min(len(ids), b)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        own, times = self.vocabulary[i]
+        kept = []
+        for a, b in out:
+            part = ids[a:b]
+            j = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            same = own[j] == part
+            # windows in which words of the item are half as many as it has
+            sums = np.concatenate([[0], np.cumsum(same)])
+            starts = np.arange(max(1, len(part) - width + 1))
+            starts = starts[2 * (sums[np.minimum(starts + width, len(part))] - sums[starts]) >= n]
+            if len(starts):
+                cuts = np.flatnonzero(np.diff(starts) > width)
+                for x, y in zip(starts[np.concatenate([[0], cuts + 1])], starts[np.concatenate([cuts, [len(starts) - 1]])], strict=True):
+                    y = min(len(part), y + width)
+                    if 2 * np.minimum(np.bincount(j[x:y][same[x:y]], minlength=len(own)), times).sum() >= n:
+                        kept.append((a + int(x), a + int(y)))
+        return kept
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item_id, score, places, start word, end word) of the items that the text copies."""
         ids = self.numbers(text)
         places, grams = self.hits(ids)
-        if len(places):
-            keep = self.is_seed[grams]
-            places, grams = places[keep], grams[keep]
-        by_item: dict[int, list[int]] = {}
-        for p, g in zip(places.tolist(), grams.tolist(), strict=True):
-            for i, at in self.seeds[g]:
-                by_item.setdefault(i, []).append(p - at)
+        if not len(places):
+            return []
         out = []
-        for i, starts in by_item.items():
+        for i in self.candidates(grams):
             item_id, w = self.items[i]
             size, found = len(w), []
-            slack = size // 2 + SEED
-            starts.sort()
-            known = np.zeros(self.base, np.int64)
-            np.add.at(known, w, 1)
-            low = None
-            regions: list[tuple[int, int]] = []
-            for s in starts:  # places that could be of one copy are one region
-                a, b = max(0, s - slack), min(len(ids), s + size + slack)
-                if low is not None and a <= regions[-1][1]:
-                    regions[-1] = (regions[-1][0], max(b, regions[-1][1]))
-                else:
-                    regions.append((a, b))
-                low = a
-            for a, b in regions:
+            for a, b in self.regions(i, ids, places, grams):
                 part = ids[a:b]
-                shared = np.minimum(np.bincount(part[part >= 0], minlength=self.base), known).sum()
-                if shared < LEAST * size:
-                    continue  # too few of the item's words are there for the score
                 score, end = align(w, part)
                 if score >= LEAST * size * MATCH:
-                    back, length = align(w[::-1], part[:end][::-1])
+                    _, length = align(w[::-1], part[:end][::-1])
                     found.append((score / (size * MATCH), a + end - length, a + end))
             if found:
                 best = max(found, key=lambda x: (x[0], -x[1]))
