@@ -1,11 +1,10 @@
 """Secret scans by a trigram inverted index, with DataFrame functions alone.
 
 From each rule's regex a Boolean query over trigrams is derived (what must be in a text for the
-regex to match). The index has a posting bitmap for each trigram of those queries, laid out by
-row: bit i of a row's postings says that trigram i is in its text. Intersecting postings is
-then a test of bits, and only the rows that pass are verified by the regex. Rules without a
-mandatory trigram scan every row. Bits are kept beside their rows, so nothing is shuffled and
-no posting list is gathered in one place.
+regex to match). One pass over a text finds which of the queries' trigrams it has: that is the
+row's part of every posting list. A query intersects and unites these lists, and only rows that
+satisfy it are verified by the regex. Rules without a mandatory trigram scan every row. The parts
+of the lists are kept beside their rows, so nothing is shuffled and no list is gathered in one place.
 
 Spans count in code points. Java's regexes give no positions: a text's matches and the gaps
 between them are cut apart, and their lengths summed up.
@@ -16,6 +15,7 @@ itself; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import re._constants as K
 import re._parser
 from dataclasses import dataclass
@@ -142,42 +142,37 @@ def trigrams(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
+def any_of(strings: list[str]) -> str:
+    """A pattern that matches any of the strings, common beginnings once."""
+    heads: dict[str, list[str]] = {}
+    for x in strings:
+        heads.setdefault(x[0], []).append(x[1:])
+    rest = lambda xs: "" if xs == [""] else any_of(xs)
+    parts = [re.escape(c) + rest(xs) for c, xs in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 class TrigramIndex:
-    """Posting bits of the trigrams that rules' queries name."""
+    """Posting lists of the trigrams that rules' queries name."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
-        self.number = {t: i for i, t in enumerate(sorted(set().union(*map(trigrams, self.queries.values()))))}
+        self.trigrams = sorted(set().union(*map(trigrams, self.queries.values())))
 
     def postings(self, lower_text: Column) -> Column:
-        """A row's bits, 32 to a word."""
-        words = []
-        for start in range(0, max(1, len(self.number)), 32):
-            bits = [F.when(F.contains(lower_text, F.lit(t)), F.lit(1 << (i - start))).otherwise(F.lit(0)).cast("long") for t, i in self.number.items() if start <= i < start + 32]
-            total = F.lit(0).cast("long")
-            for b in bits:
-                total = total.bitwiseOR(b)
-            words.append(total)
-        return F.array(*words)
+        """Those of the index's trigrams whose lists a row is on; they may overlap in the text."""
+        if not self.trigrams:
+            return F.expr("cast(array() as array<string>)")
+        return F.array_distinct(F.regexp_extract_all(lower_text, F.lit(f"(?=({any_of(self.trigrams)}))"), F.lit(1)))
 
     def candidate(self, kind: str, postings: Column) -> Column:
         """Whether a row's postings satisfy the query of a rule."""
 
         def test(q) -> Column:
             if isinstance(q, str):
-                q = ("and", [q])
+                return F.array_contains(postings, F.lit(q))
             how, parts = q
-            if how == "and" and all(isinstance(p, str) for p in parts):
-                masks: dict[int, int] = {}
-                for p in parts:
-                    i = self.number[p]
-                    masks[i // 32] = masks.get(i // 32, 0) | 1 << (i % 32)
-                out = None
-                for w, mask in masks.items():
-                    c = F.get(postings, F.lit(w)).bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long")
-                    out = c if out is None else out & c
-                return out
             out = None
             for p in parts:
                 c = test(p)
