@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(flag, dest=name, type=int, default=default)
     p.add_argument("--base", default=os.environ.get("QUARRY_BASE", os.path.expanduser("~/.quarry/sessions")))
     p.add_argument("--state", default=os.environ.get("QUARRY_STATE", os.path.expanduser("~/.quarry")))
+    p.add_argument("--embed-url", default=os.environ.get("QUARRY_EMBED_URL"), help="embedding service; without one, words are hashed")
+    p.add_argument("--embed-model", default=os.environ.get("QUARRY_EMBED_MODEL", "default"))
+    p.add_argument("--embed-health", default=os.environ.get("QUARRY_EMBED_HEALTH"))
     return p
 
 
@@ -50,22 +53,24 @@ def main(argv: list[str] | None = None) -> int:
 
     from quarry.operators.index import build_index, index_status
     from quarry.operators.search import SearchOptions
-    from quarry.operators.semantic import HashedWords
+    from quarry.operators.semantic import HashedWords, HttpEmbedder
     from quarry.operators.usage import read_log, report
     from quarry.plans.policy import Request, Status, run
+    from quarry.sources.folder import Folder
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
     index_dir, log = f"{args.state}/index", f"{args.state}/log"
+    embedder = HttpEmbedder(args.embed_url, args.embed_model, args.embed_health) if args.embed_url else HashedWords()
     if args.usage:
         now = datetime.now(UTC).replace(tzinfo=None)
-        print("\n".join(report(read_log(spark, log), now)) if os.path.isdir(log) else "no searches logged")
+        print("\n".join(report(read_log(spark, log), now)) if Folder(spark, log).exists() else "no searches logged")
         return 0
     if args.index:
         if args.status:
             print(index_status(spark, index_dir))
         else:
-            done = build_index(spark, args.base, index_dir, HashedWords(), rebuild=args.rebuild or args.all_projects)
-            print(f"indexed {done['indexed']} files, skipped {done['skipped']}")
+            done = build_index(spark, args.base, index_dir, embedder, rebuild=args.rebuild or args.all_projects)
+            print(f"indexed {done['indexed']} files, skipped {done['skipped']}" + (f", {done['failed']} messages could not be embedded" if done["failed"] else ""))
         return 0
     role = "user" if args.prompts else "assistant" if args.responses else "both"
     try:
@@ -74,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return int(Status.ERROR)
     request = Request(args.pattern[0], options, args.all_projects, args.semantic, args.as_json, args.raw, args.prefilter, tuple(args.pattern[1:]))
-    done = run(spark, args.base, os.getcwd(), request, HashedWords(), index_dir, log)
+    done = run(spark, args.base, os.getcwd(), request, embedder, index_dir, log)
     for m in done.messages:
         print(m, file=sys.stderr)
     for x in done.lines:

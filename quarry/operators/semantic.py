@@ -49,7 +49,9 @@ class HashedWords:
 
 
 class HttpEmbedder:
-    """A service that takes {"model", "input"} by POST and answers {"embeddings": [[...]]}."""
+    """A service that takes {"model", "input"} by POST, input being a text or several, and answers {"embeddings": [[...]]}."""
+
+    BATCH = 32
 
     def __init__(self, url: str, model: str, health: str | None = None, timeout: float = 60.0, health_timeout: float = 2.0):
         self.url, self.model, self.health, self.timeout, self.health_timeout = url, model, health or url, timeout, health_timeout
@@ -63,19 +65,27 @@ class HttpEmbedder:
         except OSError:
             return False
 
-    def embed(self, texts: list[str]) -> list[list[float] | None]:
+    def _post(self, given: str | list[str]) -> list[list[float]] | None:
+        """The vectors of a text or of several; None if the service fails or gives another number of them."""
         import json
         from urllib.request import Request, urlopen
 
-        out = []
-        for t in texts:
-            try:
-                body = json.dumps({"model": self.model, "input": t}).encode()
-                with urlopen(Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as r:
-                    got = json.load(r).get("embeddings") or []
-                out.append(got[0] if r.status == 200 and got and got[0] else None)
-            except (OSError, ValueError):
-                out.append(None)
+        try:
+            body = json.dumps({"model": self.model, "input": given}).encode()
+            with urlopen(Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as r:
+                got = json.load(r).get("embeddings") or []
+                fine = r.status == 200 and len(got) == (1 if isinstance(given, str) else len(given)) and all(got)
+            return got if fine else None
+        except (OSError, ValueError):
+            return None
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        """BATCH texts a request; those of a request that fails are tried one by one."""
+        out: list[list[float] | None] = []
+        for at in range(0, len(texts), self.BATCH):
+            part = texts[at : at + self.BATCH]
+            got = self._post(part) if len(part) > 1 else None
+            out += got if got is not None else [(self._post(t) or [None])[0] for t in part]
         return out
 
 

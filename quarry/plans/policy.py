@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions.patterns import PatternError, is_match_all, is_short, normalize_bre
 from quarry.operators import index as indexing
 from quarry.operators.bm25 import query_terms
-from quarry.operators.search import DEFAULT_DAYS, DEFAULT_RESULTS, SearchOptions, near_miss, search, search_stats
+from quarry.operators.search import DEFAULT_DAYS, DEFAULT_RESULTS, SearchOptions, near_miss, passes_prefilter, search, search_stats
 from quarry.operators.semantic import Embedder, semantic_search
 from quarry.operators.usage import append_event
 from quarry.plans.display import json_text, terminal
@@ -59,23 +59,23 @@ def flag_names(r: Request) -> str:
 
 def no_match_hints(pattern: str, n_files: int, options: SearchOptions, all_projects: bool, semantic: bool, skipped_all: bool) -> list[str]:
     scope = "all projects" if all_projects else "current project"
-    out = [f'no matches for "{pattern}" ({n_files} files, {options.max_days} days, {scope})']
+    out = [f'nothing found for "{pattern}": {n_files} files of {options.max_days} days, {scope}']
     words = pattern.split()
     if not semantic and " " in pattern:
         if skipped_all:
-            out.append(f'note: "{pattern}" was taken as one phrase: its words must stand together')
+            out.append(f'note: the words of "{pattern}" are searched side by side, as they stand')
         if len(words) >= 2:
-            out.append(f'hint: try "({"|".join(words)})" or "{".*".join(words)}"')
+            out.append(f'hint: any of the words is "({"|".join(words)})", all in this order "{".*".join(words)}"')
     if not all_projects or options.max_days <= 7:
-        out.append(f'retry: {COMMAND} -a -d 30 "{pattern}"')
+        out.append(f'search more: {COMMAND} -a -d 30 "{pattern}"')
     if not semantic:
-        out.append(f'or: {COMMAND} -s "{pattern}"')
+        out.append(f'search by meaning: {COMMAND} -s "{pattern}"')
     return out
 
 
 def cap_hint(options: SearchOptions) -> str:
     more = ", -d 30" if options.max_days <= 7 else ""
-    return f"results capped at {options.max_results}; narrow the pattern or use -n 100{more}"
+    return f"only the newest {options.max_results} are shown; a longer pattern finds fewer, -n 100{more} shows more"
 
 
 def run(
@@ -85,18 +85,18 @@ def run(
     now = now or datetime.now(UTC).replace(tzinfo=None)
     r, o, began, notes = request, request.options, time.monotonic(), []
     if is_match_all(r.pattern):
-        return Outcome(Status.ERROR, messages=[f'pattern "{r.pattern}" matches everything; use -- before a pattern that looks like a flag'])
+        return Outcome(Status.ERROR, messages=[f'"{r.pattern}" would find everything; patterns that begin with - go after --'])
     if not r.semantic and is_short(r.pattern):
-        notes.append(f'warning: short pattern "{r.pattern}" will match much; consider {COMMAND} -s')
+        notes.append(f'note: "{r.pattern}" is short and may be found in much else; {COMMAND} -s searches by meaning')
     if r.extra:
-        notes.append(f"warning: extra arguments ignored: {' '.join(r.extra)}")
+        notes.append(f"note: not used: {' '.join(r.extra)}")
     own = f"{base}/{sessions.encode_path(cwd)}"
     if not r.all_projects:
         n = _files(spark, own, now, o).limit(FEW_FILES + 1).count()
         if not n and not _exists(spark, own):
-            return Outcome(Status.ERROR, messages=[*notes, f"no sessions for {cwd}; try -a to search all projects"])
+            return Outcome(Status.ERROR, messages=[*notes, f"{cwd} has no sessions; -a searches those of all projects"])
         if n <= FEW_FILES:
-            notes.append(f"only {n} sessions in project scope; searching all projects")
+            notes.append(f"this project has {n} recent sessions; searching all projects")
             r = Request(r.pattern, o, True, r.semantic, r.as_json, r.raw, r.prefilter, r.extra)
     path, scope = (base, "all") if r.all_projects else (own, "project")
 
@@ -107,6 +107,11 @@ def run(
                 ms=int((time.monotonic() - began) * 1000), bre=more.get("bre", False), extra_args=bool(r.extra), capped=more.get("capped", False), pf_skip=more.get("pf_skip", 0), pf_pass=more.get("pf_pass", 0),
             )
 
+    def taken(matches: DataFrame) -> tuple[DataFrame, int]:
+        """The matches, at most max_results rows, computed once, and their number."""
+        rows = matches.collect()
+        return spark.createDataFrame(rows, matches.schema), len(rows)
+
     def shown(matches: DataFrame) -> list[str]:
         if r.as_json:
             return json_text(matches).splitlines()
@@ -129,10 +134,10 @@ def run(
         if embedder is None or index_dir is None or not embedder.available():
             return Outcome(Status.ERROR, messages=[*notes, "the embedding service does not answer"])
         try:
-            matches = by_meaning()
+            matches, n = taken(by_meaning())
         except RuntimeError as e:
             return Outcome(Status.ERROR, messages=[*notes, str(e)])
-        n, n_files = matches.count(), recent.count()
+        n_files = recent.count()
         capped = n >= o.max_results
         logged("semantic", n, n_files, capped=capped)
         if not n:
@@ -142,14 +147,15 @@ def run(
     pattern = r.pattern if r.raw else normalize_bre(r.pattern)
     searched = sessions.without_current(files, now) if o.exclude_self else files
     try:
-        stats = search_stats(searched, pattern).first()
-        from quarry.operators.search import passes_prefilter
-
         read = searched.where(passes_prefilter(pattern)) if r.prefilter else searched
-        matches = search(sessions.messages(read), pattern, o)
-        n = matches.count()
+        matches, n = taken(search(sessions.messages(read), pattern, o))
     except PatternError as e:
         return Outcome(Status.ERROR, messages=[*notes, str(e)])
+    if r.prefilter:
+        stats = search_stats(searched, pattern).first().asDict()
+    else:  # no file was turned down, and none needs to be read to count them
+        total = searched.count()
+        stats = {"files_total": total, "prefilter_skipped": 0, "regex_searched": total}
     capped = n >= o.max_results
     logged("regex", n, stats["files_total"], bre=pattern != r.pattern, capped=capped, pf_skip=stats["prefilter_skipped"], pf_pass=stats["regex_searched"])
     if n:
@@ -157,8 +163,7 @@ def run(
     if embedder is not None and index_dir is not None and embedder.available():
         notes.append("no regex matches; trying semantic search")
         try:
-            matches = by_meaning()
-            n = matches.count()
+            matches, n = taken(by_meaning())
         except RuntimeError:
             n = 0
         if n:
@@ -169,7 +174,7 @@ def run(
     notes += no_match_hints(pattern, total, o, r.all_projects, False, 0 < total == stats["prefilter_skipped"])
     near = near_miss(sessions.session_files(spark, path, now, SearchOptions(max_days=o.max_days).max_age), pattern)
     if near:
-        notes.append(f'near: {near[1]} files contain "{near[0]}"; try {COMMAND} "{near[0]}"')
+        notes.append(f'near: "{near[0]}" is in {near[1]} files: {COMMAND} "{near[0]}"')
     return Outcome(Status.NONE, messages=notes)
 
 

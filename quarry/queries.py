@@ -334,7 +334,9 @@ r AS (SELECT doc_id, idx, sum(m * ln((n - df + 0.5) / (df + 0.5) + 1) * (f * 2.2
 @query(_scores_sql() + " SELECT doc_id, CAST(idx AS INT) AS idx, round(score, 6) AS score FROM r")
 def bm25_scores(spark, sf_dir):
     q = bm25.query_terms(spark, WORDS_QUERY)
-    each = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(bm25.scored_chunks(F.col("text"), q), lambda x: x["score"] != 0)).alias("c"))
+    hits = F.filter(bm25.scored_chunks(F.col("text"), q), lambda x: x["score"] != 0)
+    # outer: else the optimizer adds a filter on the array's size, and it is computed twice
+    each = _table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(hits).alias("c")).where("c IS NOT NULL")
     return each.select("doc_id", F.col("c.idx").alias("idx"), F.round("c.score", 6).alias("score"))
 
 

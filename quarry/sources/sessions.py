@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ def session_files(spark: SparkSession, base: str, now: datetime | None = None, m
     name and time, and unused text is pruned from the plan."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if max_age is not None:
-        reader = reader.option("modifiedAfter", ((now or datetime.now()) - max_age - timedelta(microseconds=1)).strftime("%Y-%m-%dT%H:%M:%S.%f"))
+        now = now or datetime.now(ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))).replace(tzinfo=None)  # the reader's zone
+        reader = reader.option("modifiedAfter", (now - max_age - timedelta(microseconds=1)).strftime("%Y-%m-%dT%H:%M:%S.%f"))
     try:
         files = reader.text(base, wholetext=True)
     except Exception as e:  # no such folder, or one without files

@@ -1,16 +1,20 @@
+import glob
 import json
 import os
+import threading
 import time
 from datetime import UTC, datetime, timedelta
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from quarry.operators.index import LOCK_STALE_SECONDS, build_index, index_status, load_index, lock
+from quarry.operators.index import LOCK_STALE_SECONDS, build_index, index_bytes, index_status, load_index, lock
 from quarry.operators.search import SearchOptions, search, search_stats
-from quarry.operators.semantic import HashedWords, semantic_search
+from quarry.operators.semantic import HashedWords, HttpEmbedder, embed_column, semantic_search
 from quarry.plans.display import json_text, terminal
 from quarry.plans.policy import Request, Status, run
 from quarry.sources import sessions as S
+from quarry.sources.folder import Folder
 
 
 def now():
@@ -116,11 +120,11 @@ def test_index_touches_changed_files_only(spark, tmp_path):
     base, index = f"{tmp_path}/base", f"{tmp_path}/index"
     put(f"{base}/-p/a.jsonl", [say("user", "alpha beta", 1)])
     put(f"{base}/-p/b.jsonl", [say("user", "gamma delta", 1), say("assistant", "epsilon", 2)])
-    assert build_index(spark, base, index, HashedWords()) == {"indexed": 2, "skipped": 0}
-    assert build_index(spark, base, index, HashedWords()) == {"indexed": 0, "skipped": 2}
+    assert build_index(spark, base, index, HashedWords()) == {"indexed": 2, "skipped": 0, "failed": 0}
+    assert build_index(spark, base, index, HashedWords()) == {"indexed": 0, "skipped": 2, "failed": 0}
     put(f"{base}/-p/a.jsonl", [say("user", "alpha changed", 1)], age=10)
     put(f"{base}/-q/c.jsonl", ["nothing"], age=10)
-    assert build_index(spark, base, index, HashedWords()) == {"indexed": 2, "skipped": 1}
+    assert build_index(spark, base, index, HashedWords()) == {"indexed": 2, "skipped": 1, "failed": 0}
     entries, files = load_index(spark, index)
     assert sorted(r["preview"] for r in entries.collect()) == ["alpha changed", "epsilon", "gamma delta"]
     assert files.count() == 2
@@ -136,14 +140,79 @@ def test_index_touches_changed_files_only(spark, tmp_path):
     assert semantic_search(load_index(spark, index)[0], None, q, SearchOptions(max_days=0), now(), project_prefix="-x").count() == 0
 
 
-def test_lock(tmp_path):
-    path = f"{tmp_path}/lock"
-    with lock(path), pytest.raises(RuntimeError), lock(path):
+def test_lock(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}")
+    with lock(folder), pytest.raises(RuntimeError), lock(folder):
         pass
-    assert not os.path.exists(path)
-    open(path, "w").close()
-    with lock(path, time.time() + LOCK_STALE_SECONDS + 5):
+    assert not folder.exists("lock")
+    folder.create("lock")
+    with lock(folder, now=time.time() + LOCK_STALE_SECONDS + 5):
         pass
+    assert folder.names() == []
+
+
+class Meanwhile(HashedWords):
+    """Writes a file anew while the index is built; fails on some texts."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def embed(self, texts):
+        put(self.path, [say("user", "written meanwhile", 1)], age=-30)
+        return [None if "unlucky" in t else v for t, v in zip(texts, super().embed(texts), strict=True)]
+
+
+def test_index_misses_nothing_written_meanwhile(spark, tmp_path):
+    base, index = f"{tmp_path}/base", f"file://{tmp_path}/index"
+    for p in ("p", "q"):
+        put(f"{base}/-{p}/a.jsonl", [say("user", f"first {p}", 1), say("user", "unlucky", 2)], age=100)
+    assert build_index(spark, base, index, Meanwhile(f"{base}/-p/a.jsonl")) == {"indexed": 2, "skipped": 0, "failed": 2}
+    assert build_index(spark, base, index, HashedWords()) == {"indexed": 1, "skipped": 1, "failed": 0}
+    assert sorted(r["preview"] for r in load_index(spark, index)[0].collect()) == ["first q", "written meanwhile"]
+    folder = Folder(spark, index)
+    versions = [n for n in folder.names() if n.startswith("v")]
+    assert len(versions) == 2  # -q is still in the first one
+    assert [os.path.basename(x) for x in sorted(glob.glob(f"{tmp_path}/index/{versions[1]}/entries/project=*"))] == ["project=-p"]
+    assert index_bytes(spark, index) > 0 and ", 0 B" not in index_status(spark, index)
+    build_index(spark, base, index, HashedWords(), rebuild=True)
+    build_index(spark, base, index, HashedWords(), rebuild=True)
+    assert len([n for n in folder.names() if n.startswith("v")]) == 2  # the newest, and the one that readers may still have
+
+
+def test_embedding_service(spark):
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+
+        def do_POST(self):
+            given = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            given = [given] if isinstance(given, str) else given
+            seen.append(len(given))
+            self.send_response(500 if "bad" in given else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embeddings": [[float(len(t)), 1.0] for t in given]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        e = HttpEmbedder(url, "m")
+        assert e.available() and e.embed(["a", "bb"]) == [[1.0, 1.0], [2.0, 1.0]] and seen == [2]
+        assert e.embed(["a", "bad", "ccc"]) == [[1.0, 1.0], None, [3.0, 1.0]]
+        assert [len(x or []) for x in e.embed(["x"] * 70)] == [2] * 70 and seen[-3:] == [32, 32, 6]
+        rows = embed_column(spark.createDataFrame([("abc",)], "t string"), "t", e).collect()
+        assert rows[0]["vector"] == [3.0, 1.0]
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert not HttpEmbedder(url, "m", health_timeout=0.5).available()
 
 
 def test_policy(spark, tmp_path):
@@ -156,11 +225,11 @@ def test_policy(spark, tmp_path):
     assert any("searching all projects" in m for m in done.messages)
     assert go(".*").status == Status.ERROR and go("c++").status == Status.ERROR
     none = go("needle zzz")
-    assert none.status == Status.NONE and any("near: 3 files" in m or "hint" in m for m in none.messages)
+    assert none.status == Status.NONE and any("is in 3 files" in m or "hint" in m for m in none.messages)
     assert run(spark, base, "/elsewhere", Request("x")).status == Status.ERROR
     assert go(r"\(needle\|x\)").status == Status.MATCH
     capped = go("needle", options=SearchOptions(max_results=2))
-    assert any("capped at 2" in m for m in capped.messages)
+    assert any("newest 2 are shown" in m for m in capped.messages)
     build_index(spark, base, index, HashedWords())
     meant = run(spark, base, "/w/p", Request("hay in needle 2", options=SearchOptions(max_days=100000)), HashedWords(), index, log)
     assert meant.status == Status.MATCH and any("[1.00]" in x for x in meant.lines)
