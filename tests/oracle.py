@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def connect(sf_dir: str = SMALL):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, np.generic):
         return plain(v.item())
