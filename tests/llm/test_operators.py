@@ -92,6 +92,32 @@ def test_equals_duckdb(spark, name):
     same(spark, QUERIES[name], ORACLE[name])
 
 
+def in_duckdb(name, table, columns, rows):
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE {table} ({columns})")
+    con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    return Counter(con.sql(ORACLE[name]).fetchall())
+
+
+def test_sql_on_odd_rows(spark):
+    """Raw values, as rows of the driver's small tables have no revisits, nulls or repeats."""
+    rng = random.Random(19)
+    texts = [(r[0], r[1]) for r in ODD]
+    for i in range(150):
+        words = [rng.choice(["a", "b", "é", "語", "#", "c|d", "\xa0", "Ab"]) for _ in range(rng.randint(0, 60))]
+        texts.append((100 + i, "".join(w + rng.choice([" ", "\n", "\t", "  "]) for w in words)))
+    whole = lambda df: Counter(map(tuple, df.collect()))
+    assert whole(quality.quality_rules(docs(spark, texts))) == in_duckdb("op4_quality_rules", "documents", "doc_id BIGINT, text VARCHAR", texts)
+    pages = [(i, "u", rng.choice(["same", "twice é", "", None, sentence(rng, 5)])) for i in rng.sample(range(1000), 80)] + [(None, "u", "same"), (None, None, None), (7, "u", "x"), (7, "u", "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = whole(warc.read_bundles(warc.write_bundles(df, scratch(spark, "warc"))))
+    assert got == in_duckdb("op8_warc", "pages", "page_id BIGINT, url VARCHAR, html VARCHAR", pages)
+    assert sum(r[3] == "revisit" for r in got) > 40
+    rows = near_rows(rng)
+    rows += [(900 + k, t) for k, (_, t) in enumerate(texts[:60])]  # ids that differ: the SQL knows no others
+    assert whole(near_dups.near_duplicates(docs(spark, rows), words=4)) == in_duckdb("op10_near_duplicates", "documents", "doc_id BIGINT, text VARCHAR", rows)
+
+
 # ---- 1, 7: tokens
 
 TEXTS = ["", " ", "a", "Hello  world", "  x", "x  ", "tab\tnew\nline\n\n", "日本語 ", "ﷺ🙂 é", "▁▁a ▁", "<s> </s>", "a" * 500, "don't you'll 12 345"]
