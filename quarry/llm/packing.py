@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.llm.common import column_or_null, table
+from quarry.llm.common import column_or_null, few_rows, table
 from quarry.llm.tokens import BytePairIds
 
 CAPACITY = 2048
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=arrow)
 
-        for b in batches:
+        for b in few_rows(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows += packer.add(doc_id, ids(text or "") + end)
